@@ -1,9 +1,17 @@
 """Queries of the corpus operators over the test tables, and SQL for those that SQL can express."""
 
+from weftline.llm.binary import op4_binary
+from weftline.llm.decontaminate import op6_decontaminate
+from weftline.llm.langid import op1_language
+from weftline.llm.packing import op2_packing
 from weftline.llm.simhash import op10_simhash
 from weftline.llm.substrings import OP9_SQL, op9_substrings
 
 QUERIES = {
+    "op1_language": op1_language,
+    "op2_packing": op2_packing,
+    "op4_binary": op4_binary,
+    "op6_decontaminate": op6_decontaminate,
     "op9_substrings": op9_substrings,
     "op10_simhash": op10_simhash,
 }
