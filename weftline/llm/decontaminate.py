@@ -46,15 +46,17 @@ def budget(m: int, q: int = Q, rate: float = RATE) -> tuple[int, int]:
     return e, m + 1 - q * (e + 1)
 
 
-def aligned(item: str, text: str, edits: int, low: int) -> tuple[int, int, int] | None:
+def aligned(item: str, text: str, edits: int) -> tuple[int, int, int] | None:
     """(distance, start, end) of the passage of text nearest to item, of the least end on ties, if within `edits`.
-    Only cells on diagonals low .. low + width are filled: the passage starts in text[0 : width] where width = len(text) - len(item)."""
+    Only the cells on diagonals -edits .. len(text) - len(item) + edits are filled; no passage within `edits` leaves them."""
     at = text.find(item)
     if at >= 0:
         return 0, at, at + len(item)
     a = np.frombuffer(item.encode("utf-32-le"), np.uint32)
     t = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     width = len(t) - len(a) + 1 + 2 * edits
+    if width <= 0:
+        return None
     pad = np.concatenate([np.zeros(edits, np.uint32), t, np.zeros(edits + 1, np.uint32)])
     offset = np.arange(width)
     big = len(a) + len(t) + 1
@@ -149,7 +151,7 @@ class Items:
             part = text[low : (band + 2) * (e + 1) - 1 + len(name) + e]
             if item in best and best[item][0] == 0:
                 continue
-            if found := aligned(name, part, e, low):
+            if found := aligned(name, part, e):
                 seen = (found[0], low + found[1], low + found[2])
                 best[item] = min(best.get(item, seen), seen)
         for item in self.short:
