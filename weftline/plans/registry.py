@@ -1,4 +1,171 @@
 """Queries over the driver's tables and the DuckDB SQL of the same rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions.lineage import cut
+from weftline.operators import graph, impact, metrics, navigate, rules
+from weftline.plans.bridge import Bridge
+from weftline.plans.oracles import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 9) for c in columns})
+
+
+def tops(b: Bridge) -> DataFrame:
+    """The three symbols most depended on, as seeds."""
+    return b.edges.groupBy(F.col("dst").alias("seed")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "seed").limit(3).select("seed")
+
+
+def diff(b: Bridge) -> tuple[DataFrame, DataFrame]:
+    """Hunks and changed paths of the first commits, taken as a diff."""
+    hunks = b.hunks.filter("commit_id < 8").select("path", "start_line", "end_line").distinct()
+    return hunks, hunks.select("path").distinct()
+
+
+def _references(b: Bridge) -> DataFrame:
+    seed = tops(b).agg(F.min("seed")).first()[0]
+    return navigate.find_references(b.symbols, b.stored_edges, seed).select(F.lit(seed).alias("seed"), "*")
+
+
+def _file_deps(b: Bridge) -> DataFrame:
+    """Evidence here is the target's file, so that it differs from the source's."""
+    at = b.symbols.select(F.col("symbol_id").alias("dst"), F.col("file"))
+    return navigate.file_summary(b.symbols, b.stored_edges.drop("file").join(at, "dst"), "Brand#1")[1]
+
+
+def _god(b: Bridge) -> DataFrame:
+    found = metrics.god_modules(b.modules, b.edges)
+    return found.select("module", "ce", F.round("cohesion", 9).alias("cohesion"), F.col("outbound")[0]["symbol_id"].alias("first_symbol"), "share")
+
+
+def _blast(kinds=None):
+    def run(b: Bridge) -> DataFrame:
+        edges = cut(b.edges)
+        return graph.blast_radius(edges, cut(tops(b)), kinds)
+
+    return run
+
+
+def _plan(b: Bridge) -> DataFrame:
+    edges = cut(b.edges)
+    seed = tops(b).agg(F.min("seed")).first()[0]
+    return graph.plan_assist(edges, b.symbols, seed).select("file", F.round("certainty", 9).alias("certainty"), F.size("reasons").cast("long").alias("members"))
+
+
+def _dead(b: Bridge) -> DataFrame:
+    roots = b.symbols.filter(rules.is_root())
+    return graph.dead_code(b.symbols, b.edges, roots).select("symbol_id", "name")
+
+
+def _with_cycles(make):
+    def run(b: Bridge) -> DataFrame:
+        edges = cut(b.edges)
+        return make(b, edges, cut(graph.cycles(edges)))
+
+    return run
+
+
+def _clusters(b: Bridge, edges: DataFrame, found: DataFrame) -> DataFrame:
+    return graph.cycle_clusters(found, b.symbols).withColumn("representatives", F.array_join(F.col("representatives").cast("array<string>"), ","))
+
+
+def _diff_blast(b: Bridge) -> DataFrame:
+    hunks, changed = diff(b)
+    return impact.diff_blast(cut(b.edges), hunks, b.ranges, changed)
+
+
+def _affected(b: Bridge) -> DataFrame:
+    return impact.affected_tests(_diff_blast(b), b.symbols.filter(rules.is_test()))
+
+
+def _pairs(b: Bridge, *pairs: tuple[str, str]) -> DataFrame:
+    return b.spark.createDataFrame(list(pairs), "from_layer string, to_layer string")
+
+
+def _fitness(b: Bridge) -> DataFrame:
+    found = rules.fitness(b.symbols, cut(b.edges), b.files, _pairs(b, ("core", "ui")), 0, 0.5)
+    return rounded(found.withColumn("members", F.array_join(F.col("members").cast("array<string>"), ",")), "instability")
+
+
+def _merged(b: Bridge) -> DataFrame:
+    """History of two halves, merged."""
+
+    def half(df: DataFrame) -> DataFrame:
+        return df.groupBy("path").agg(F.count("*").alias("commits"), F.collect_set("author").alias("author_keys"), F.max("ts").alias("last_changed"))
+
+    c = b.commit_files
+    out = metrics.merge_churn(half(c.filter("commit_id % 2 = 0")), half(c.filter("commit_id % 2 = 1")))
+    return out.select("path", "commits", F.size("author_keys").cast("long").alias("authors"), "last_changed")
+
+
+def _live(b: Bridge) -> DataFrame:
+    """Files that the event stream leaves in place: those whose last event isn't their removal."""
+    by = b.raw("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"), F.count("*").alias("events"))
+    return by.filter("last_event <> 'purchase'")
+
+
+def _lines(b: Bridge) -> DataFrame:
+    lines = F.split("text", "\n")
+    return b.raw("documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("filled"))
+
+
+_PLANS = {
+    "list_symbols": lambda b: navigate.list_symbols(b.symbols, "ring", "ECONOMY").select("symbol_id", "name", "kind", "file"),
+    "find_definition": lambda b: navigate.find_definition(b.symbols, "small ring").select("symbol_id", "name", "kind", "file"),
+    "find_references": _references,
+    "search_code": lambda b: navigate.search_code(b.symbols, "red widget", lang="GO", glob="Brand#1*").select("symbol_id", "name", "lang", "visibility", "file", "rank"),
+    "search_regex": lambda b: navigate.search_code(b.symbols, "^(red|blue).*g$", regex=True).select("symbol_id", "name", "file"),
+    "file_summary": lambda b: navigate.file_summary(b.symbols, b.stored_edges, "Brand#1")[0].select("symbol_id", "name", "kind", "byte_start", "fan_in", "fan_out"),
+    "file_deps": _file_deps,
+    "project_status": lambda b: navigate.project_status(b.files, b.symbols, b.stored_edges),
+    "graph_edges": lambda b: b.edges,
+    "degrees": lambda b: graph.degrees(b.symbols.select("symbol_id"), b.edges),
+    "coupling": lambda b: rounded(metrics.coupling(b.modules, b.edges), "instability", "abstractness", "distance"),
+    "cohesion": lambda b: rounded(metrics.cohesion(b.modules, b.edges), "cohesion"),
+    "file_complexity": lambda b: metrics.complexity_ranking(b.symbols),
+    "symbol_complexity": lambda b: metrics.complexity_ranking(b.symbols, "symbol", 50),
+    "file_churn": lambda b: metrics.file_churn(b.commit_files),
+    "co_change_counts": lambda b: metrics.co_change_counts(b.commit_files),
+    "co_change": lambda b: rounded(metrics.co_change(metrics.co_change_counts(b.commit_files), metrics.file_churn(b.commit_files), min_degree=0.15), "degree"),
+    "hotspots": lambda b: rounded(metrics.hotspots(metrics.file_churn(b.commit_files), metrics.file_complexity(b.symbols)), "score"),
+    "symbol_churn": lambda b: metrics.symbol_churn(b.hunks, b.ranges),
+    "symbol_hotspots": lambda b: rounded(metrics.hotspots(metrics.symbol_churn(b.hunks, b.ranges), b.symbols, "symbol_id"), "score"),
+    "god_modules": _god,
+    "wide_modules": lambda b: metrics.wide_modules(b.modules, b.edges),
+    "misplaced": lambda b: rounded(metrics.misplaced(b.modules, b.edges), "ratio"),
+    "neighbours": lambda b: metrics.neighbours(b.modules, b.edges),
+    "reverse_bfs": lambda b: graph.callers(graph.of_kinds(b.edges, ["Calls", "Imports"]), tops(b), 3),
+    "blast_radius": _blast(),
+    "blast_radius_calls": _blast(["Calls"]),
+    "dominator_depths": lambda b: graph.dominators(cut(b.edges), tops(b)),
+    "plan_assist": _plan,
+    "cycles": lambda b: graph.cycles(b.edges),
+    "dead_code": _dead,
+    "cycle_breaks": _with_cycles(lambda b, e, c: rounded(graph.cycle_breaks(e, b.symbols, c), "score")),
+    "suggested_cuts": _with_cycles(lambda b, e, c: graph.suggested_cuts(e, c)),
+    "cycle_clusters": _with_cycles(_clusters),
+    "diff_blast": _diff_blast,
+    "affected_tests": _affected,
+    "roots": lambda b: b.symbols.select("symbol_id", rules.is_root().alias("root"), rules.is_test().alias("test")),
+    "forbidden_edges": lambda b: rules.forbidden_edges(b.symbols, b.edges, b.files, _pairs(b, ("core", "ui"), ("data", "ui"))),
+    "fitness": _fitness,
+    "api_diff": lambda b: rules.api_diff(b.surface(1996), b.surface(1997)),
+    "semver": lambda b: rules.semver(rules.api_diff(b.surface(1996), b.surface(1997))),
+    "merge_history": _merged,
+    "doc_kinds": lambda b: b.raw("pages").select("page_id", rules.doc_kind(F.col("url")).alias("doc_kind")),
+    "live_files": _live,
+    "outline_lines": _lines,
+}
+
+
+def _over(make):
+    return lambda spark, folder: make(Bridge(spark, folder))
+
+
+QUERIES: dict = {name: _over(make) for name, make in _PLANS.items()}
