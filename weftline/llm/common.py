@@ -42,7 +42,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written"] = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table of written() once all that reads it has been written itself."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.__dict__["_written"])
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mapped(df: DataFrame, work: Callable[[], Callable[[dict], dict]], schema: str, size: int = SLICE) -> DataFrame:
@@ -70,6 +79,15 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % n
 
 
+def sampled(df: DataFrame, key: str, n: int, *rest: str) -> DataFrame:
+    """Up to n rows of df: those of least xxhash64(key), then of least key, then by `rest`. Keys are chosen first and alone,
+    so wide columns are read but not shuffled for all rows; the chosen keys, n at most, are broadcast."""
+    order = [F.xxhash64(key), F.col(key)]
+    keys = df.select(key).orderBy(*order).limit(n).distinct().select(F.col(key).alias("_key"))
+    chosen = df.join(F.broadcast(keys), df[key].eqNullSafe(keys["_key"])).drop("_key")
+    return chosen.orderBy(*order, *(F.xxhash64(c) for c in rest)).limit(n)
+
+
 def smallest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """Up to n rows of each group, by `order`. Spark keeps n rows a task before it shuffles (window group limit)."""
     from pyspark.sql import Window

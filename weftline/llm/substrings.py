@@ -15,6 +15,7 @@ as an earlier one are settled by that alone. Both are exact.
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mapped, table, text_bytes, written
+from weftline.llm.common import discard, mapped, table, text_bytes, written
 
 WINDOW, GRAM = 50, 8
 #: Suffixes that one task's subtree gets.
@@ -69,17 +70,15 @@ def _outline(window: int, gram: int):
 
     def work():
         def step(rows):
-            out = {k: [] for k in ("doc_id", "n_words", "c1", "c2", "sha", "anchors")}
-            for d, text in zip(rows["doc_id"], rows["text"]):
+            out = {k: [] for k in ("doc_id", "key", "n_words", "c1", "c2", "sha", "anchors")}
+            for d, key, text in zip(rows["doc_id"], rows["key"], rows["text"]):
                 words = text.split()
                 whole = b" ".join(words)
                 code = xxhash.xxh3_128_intdigest(whole)
-                out["doc_id"].append(d)
-                out["n_words"].append(len(words))
-                out["c1"].append((code >> 64) - (1 << 63))
-                out["c2"].append((code & ((1 << 64) - 1)) - (1 << 63))
-                out["sha"].append(hashlib.sha256(whole).hexdigest())
-                out["anchors"].append(_signed(np.unique(_anchors(_codes(words, 1, (gram,))[gram], window, gram))) if len(words) >= window else [])
+                anchors = _signed(np.unique(_anchors(_codes(words, 1, (gram,))[gram], window, gram))) if len(words) >= window else []
+                row = (d, key, len(words), (code >> 64) - (1 << 63), (code & ((1 << 64) - 1)) - (1 << 63), hashlib.sha256(whole).hexdigest(), anchors)
+                for name, v in zip(out, row):
+                    out[name].append(v)
             return out
 
         return step
@@ -92,8 +91,8 @@ def _suffixes(window: int, gram: int, depths: tuple[int, ...]):
 
     def work():
         def step(rows):
-            out = {k: [] for k in (*(f"p{n}" for n in depths), "a", "b", "doc_id", "pos")}
-            for d, text, known in zip(rows["doc_id"], rows["text"], rows["anchors"]):
+            out = {k: [] for k in (*(f"p{n}" for n in depths), "a", "b", "doc_id", "key", "pos")}
+            for d, key, text, known in zip(rows["doc_id"], rows["key"], rows["text"], rows["anchors"]):
                 words = text.split()
                 code = _codes(words, 1, (gram, *depths, window))
                 at = np.flatnonzero(np.isin(_signed(_anchors(code[gram], window, gram)), np.array(known, np.int64)))
@@ -102,6 +101,7 @@ def _suffixes(window: int, gram: int, depths: tuple[int, ...]):
                 out["a"].append(_signed(code[window][at]))
                 out["b"].append(_signed(_codes(words, 2, (window,))[window][at]))
                 out["doc_id"].append(np.full(len(at), d))
+                out["key"].append(np.full(len(at), key))
                 out["pos"].append(at)
             return {k: np.concatenate(v) if v else [] for k, v in out.items()}
 
@@ -136,19 +136,24 @@ def _deep_nodes(batches, depths: tuple[int, ...]):
 
 
 def repeats(docs: DataFrame, outline: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, starts): for each document, the starts of windows that a document of lesser id has too. docs: doc_id, text (bytes)."""
+    """(doc_id, key, starts): for each document, the starts of windows that a document of lesser id has too. docs: doc_id, key, text (bytes)."""
     depths = tuple(n for n in (8, 16, 32) if n < window)
-    owned = outline.filter("first").select("doc_id", F.explode("anchors").alias("anchor"))
+    owned = outline.filter("first").select("doc_id", "key", F.explode("anchors").alias("anchor"))
     shared = owned.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    known = owned.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
-    schema = "".join(f"p{n} long, " for n in depths) + "a long, b long, doc_id long, pos int"
-    suffixes = written(mapped(docs.join(known, "doc_id").select("doc_id", "text", "anchors"), _suffixes(window, gram, depths), schema, 64), "suffixes")
+    known = owned.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    schema = "".join(f"p{n} long, " for n in depths) + "a long, b long, doc_id long, key long, pos int"
+    suffixes = written(mapped(docs.join(known, ["doc_id", "key"]).select("doc_id", "key", "text", "anchors"), _suffixes(window, gram, depths), schema, 64), "suffixes")
     path = [*(f"p{n}" for n in depths), "a", "b"]
-    summed = written(suffixes.groupBy(*path).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")), "paths")
+    summed = written(suffixes.groupBy(*path).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "paths")
     groups = max(1, -(-summed.count() // GROUP))
-    sorted_paths = summed.repartitionByRange(groups, *path).sortWithinPartitions(*path).select(*path, "low", "high")
-    nodes = sorted_paths.mapInArrow(lambda batches: _deep_nodes(batches, depths), "a long, b long, first_doc long")
-    return suffixes.join(nodes, ["a", "b"]).filter("doc_id > first_doc").groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    sorted_paths = summed.repartitionByRange(groups, *path).sortWithinPartitions(*path)
+    nodes = written(sorted_paths.mapInArrow(lambda batches: _deep_nodes(batches, depths), "a long, b long, first_doc long"), "nodes")
+    discard(summed)
+    found = suffixes.join(nodes, ["a", "b"]).filter("doc_id > first_doc").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts"))
+    out = written(found, "repeats")
+    discard(suffixes)
+    discard(nodes)
+    return out
 
 
 def _spans(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -158,47 +163,70 @@ def _spans(starts: list[int], window: int) -> list[tuple[int, int]]:
     return [(int(x[0]), int(x[-1]) + window) for x in np.split(at, cut)]
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, text): text is what is left where words were removed, joined by a space, else null.
+def without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, bytes, int]:
+    """The text without its words in the spans, the kept words joined by a space, and the number of words removed.
+    What stands between kept words stays as it is, but for white space at the ends of a cut."""
+    places = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+    parts, words, end, gone = [], [], 0, 0
+    for a, b in [*spans, (len(places), len(places))]:
+        if a > end:
+            parts.append(text[places[end][0] : places[a - 1][1]])
+            words += [text[x:y] for x, y in places[end:a]]
+        gone += b - a
+        end = b
+    return b"\n".join(parts), b" ".join(words), gone
+
+
+def _cut(window: int):
+    def work():
+        def step(rows):
+            out = {k: [] for k in ("doc_id", "key", "gone", "left_sha", "left_text")}
+            for d, key, text, starts in zip(rows["doc_id"], rows["key"], rows["text"], rows["starts"]):
+                left, words, gone = without(text, _spans(starts, window))
+                for name, v in zip(out, (d, key, gone, hashlib.sha256(words).hexdigest(), left.decode())):
+                    out[name].append(v)
+            return out
+
+        return step
+
+    return work
 
-    A null text has no words. Texts under `window` words keep all. Of rows that share a doc_id and differ in text, each
-    is judged against lesser doc_ids only; rows without a doc_id are neither judged nor a source. Empty docs: no rows."""
-    import functools
 
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, key, n_words, n_removed, kept_sha256, text): key is xxhash64 of the text, and text is what is left of a
+    text that lost words, else null.
+
+    A null text has no words. Texts under `window` words keep all. Rows that share a doc_id are judged each against
+    lesser doc_ids only; rows without a doc_id are neither judged nor a source. Empty docs: no rows."""
     gram = min(gram, window)
-    plain = docs.select(F.col(doc_id).alias("doc_id"), text_bytes(text))
-    found = written(mapped(plain, _outline(window, gram), "doc_id long, n_words long, c1 long, c2 long, sha string, anchors array<long>"), "outline")
-    least = found.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
-    outline = written(found.join(least, ["c1", "c2"]).withColumn("first", F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("least"))).drop("least"), "outline")
-    starts = written(repeats(plain, outline, window, gram), "repeats")
-
-    def cut(rows, window):
-        out = {k: [] for k in ("doc_id", "c1", "c2", "gone", "sha", "text")}
-        for d, text, at in zip(rows["doc_id"], rows["text"], rows["starts"]):
-            words = text.split()
-            code = xxhash.xxh3_128_intdigest(b" ".join(words))
-            kept, end = [], 0
-            for a, b in _spans([x for x in at if x + window <= len(words)], window) if at else ():
-                kept += words[end:a]
-                end = b
-            left = b" ".join(kept + words[end:])
-            gone = len(words) - len(kept) - len(words[end:])
-            for k, v in (("doc_id", d), ("c1", (code >> 64) - (1 << 63)), ("c2", (code & ((1 << 64) - 1)) - (1 << 63)), ("gone", gone), ("sha", hashlib.sha256(left).hexdigest()), ("text", left.decode())):
-                out[k].append(v)
-        return out
-
-    changed = mapped(plain.join(starts, "doc_id"), lambda: functools.partial(cut, window=window), "doc_id long, c1 long, c2 long, gone long, sha string, text string", 64)
-    changed = changed.dropDuplicates(["doc_id", "c1", "c2"]).withColumnRenamed("sha", "left_sha")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), text_bytes(text))
+    raw = written(mapped(plain, _outline(window, gram), "doc_id long, key long, n_words long, c1 long, c2 long, sha string, anchors array<long>"), "outline")
+    least = raw.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
+    outline = written(raw.join(least, ["c1", "c2"]).withColumn("first", F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("least"))).drop("least", "c1", "c2"), "outline")
+    discard(raw)
+    starts = repeats(plain, outline, window, gram)
+    changed = mapped(plain.join(starts, ["doc_id", "key"]), _cut(window), "doc_id long, key long, gone long, left_sha string, left_text string", 64)
+    changed = changed.dropDuplicates(["doc_id", "key"])
     copy = ~F.col("first") & F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
-    return outline.join(changed, ["doc_id", "c1", "c2"], "left").select(
+    return outline.join(changed, ["doc_id", "key"], "left").select(
         "doc_id",
+        "key",
         "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("gone", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha", "sha")).alias("kept_sha256"),
-        F.when(copy, F.lit("")).otherwise(F.when(F.col("gone") > 0, F.col("text"))).alias("text"),
+        F.when(copy, F.lit("")).otherwise(F.col("left_text")).alias("text"),
     )
 
 
+def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """docs without repeated passages: texts lose them, and rows of which nothing is left go. Other columns stay."""
+    found = removed(docs, doc_id, text, window).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("text").alias("_left")).dropDuplicates(["_id", "_key"])
+    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    both = docs.join(found, (docs[doc_id] == found["_id"]) & (key == found["_key"]), "left")
+    kept = both.filter(F.col("_left").isNull() | (F.col("_left") != ""))
+    return kept.select(*(F.coalesce("_left", docs[c]).alias(c) if c == text else docs[c] for c in docs.columns))
+
+
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
