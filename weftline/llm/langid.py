@@ -111,9 +111,11 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     """Profiles of the languages in `lang`. Rows without text or language teach nothing. At most `sample` documents of each
     language are read; their n-grams are counted over whole texts. The driver gets PROFILE codes a language."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    chosen = smallest(known.select("lang", "doc_id", F.xxhash64("text").alias("h")), ["lang"], [F.xxhash64("doc_id"), F.col("doc_id"), F.col("h")], sample)
-    chosen = smallest(known.join(chosen.select("lang", "doc_id").distinct(), ["lang", "doc_id"], "left_semi"), ["lang"], order, sample)
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    ids = smallest(known.select("lang", "doc_id"), ["lang"], order, sample).distinct()
+    if ids.count() <= 1_000_000:  # `sample` ids a language; a hundred languages and more are broadcast
+        ids = F.broadcast(ids)
+    chosen = smallest(known.join(ids, ["lang", "doc_id"], "left_semi"), ["lang"], [*order, F.xxhash64("text")], sample)
 
     def work():
         def step(rows):
@@ -142,19 +144,30 @@ def predicted(docs: DataFrame, profiles: Profiles, keys: list[str], text: str =
     """Columns `keys` of docs with lang_pred, score (0 to 1) and margin. Whole texts are read; null or letterless ones are `und`, 0."""
     kind = "lang_pred string, score double, margin double"
 
-    def name(texts):
-        import pandas as pd
+    import pandas as pd
+    from pyspark.sql.pandas.functions import pandas_udf
 
+    def name(texts):
         return pd.DataFrame([profiles.nearest(t) for t in texts], columns=["lang_pred", "score", "margin"])
 
-    from pyspark.sql.pandas.functions import pandas_udf
-    import pandas as pd
-
     name.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
     found = pandas_udf(name, kind)(F.col(text))
     return docs.select(*keys, found.alias("_found")).select(*keys, "_found.lang_pred", "_found.score", "_found.margin")
 
 
+def kept(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:
+    """docs whose text has a letter and scores at least `least` with its language. All columns stay as they are."""
+    import pandas as pd
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    def near(texts):
+        found = [profiles.nearest(t) for t in texts]
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score, _ in found], dtype=bool)
+
+    near.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    return docs.filter(pandas_udf(near, "boolean")(F.col(text)))
+
+
 def trained(spark: SparkSession, sf_dir: str) -> Profiles:
     """Learned from documents whose crc32(doc_id as text) mod 4 is not 2."""
     return learn(table(spark, sf_dir, "documents").filter(remainder(F.col("doc_id"), 4) != 2))
