@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import CLEANUP, mapped, shared_dir, table
+from weftline.llm.common import CLEANUP, mapped, sampled, shared_dir, table
 from weftline.llm.tokens import encoder
 
 MAGIC, VERSION = b"WFID", 1
@@ -36,13 +36,13 @@ LEVEL = 3
 #: A shard is closed at so many bytes of frames or documents.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 16
 #: Documents of a range, and ranges at most (then they are larger, which a shard's size doesn't follow).
-RANGE_DOCS, RANGES = 20_000, 4096
+RANGE_DOCS, RANGES = 4_000, 4096
 END = 1
 
 
 def train(docs: DataFrame, path: str, sample: int = SAMPLE, end: int = END) -> bytes:
     """A zstandard dictionary for the ids of docs (doc_id, text); empty where there is too little to train on."""
-    chosen = docs.filter("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample)
+    chosen = sampled(docs.filter("text is not null"), "doc_id", sample, "text")
 
     def work():
         def step(rows):

@@ -1,7 +1,9 @@
 """Ids of public tokenizers, with a cache of words.
 
 Both vocabularies cut a text at white space before they merge anything, so a text's ids are those of its words one after
-the other. Words met before come from a cache of bounded size; new ones go to the tokenizers library in one call."""
+the other. Words met before come from a cache of bounded size; new ones go to the tokenizers library in one call. New
+words of Latin letters, with or without a point or the like at the end, need none of the library's normalising and
+cutting: they go straight to its model, in the byte alphabet that the file's pre-tokenizer would have written them in."""
 
 from __future__ import annotations
 
@@ -13,13 +15,22 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in each of the cache's two generations, and the longest word kept.
 CACHE, LONGEST = 350_000, 48
+#: Marks that may end a word on the short way; they form one run after the letters.
+ENDS = ".,;:!?"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """Byte -> character of byte-level vocabularies: printable Latin-1 stands for itself, the others follow from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
 class Encoder:
     """ids of texts by a `tokenizers` file, without special tokens; their strings in a text are ordinary text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
@@ -29,6 +40,11 @@ class Encoder:
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.mark = "\n" if self.keeps_space else "\0"
         self.mark_id = self.whole(self.mark)[0]
+        self.alphabet = byte_alphabet()
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.space, self.newline, self.stop = (self.alphabet[b] for b in (0x20, 0x0A, 0x00))
+        self.stop_id = self.bare.encode(self.stop, add_special_tokens=False).ids[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -44,11 +60,29 @@ class Encoder:
             return None
         return text.replace("\n", " \n").split(" ")
 
+    def _short(self, word: str) -> str | None:
+        """The word as the model takes it, runs apart by a space; None if it isn't letters and end marks of Latin-1."""
+        lead = self.space if self.keeps_space else ""
+        if word[0] == "\n" and self.keeps_space:
+            word, lead = word[1:], self.newline + " "
+        core = word.rstrip(ENDS)
+        if not core.isalpha() or core[-1] > "\xff" or not core.isascii() and max(core) > "\xff":
+            return None
+        ends = word[len(core) :]
+        if not self.keeps_space:
+            core = core.lower()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(self.alphabet)
+        return f"{lead}{core} {ends}" if ends else lead + core
+
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        known, plain = {}, []
+        known, plain, short, runs = {}, [], [], []
         for w in words:
             if w in self.old:
                 known[w] = self.old[w]
+            elif w and len(w) <= LONGEST and (run := self._short(w)):
+                short.append(w)
+                runs.append(run)
             elif self.mark in w or not w or len(w) > LONGEST:
                 lead = " " if self.keeps_space and w[:1] != "\n" else ""
                 known[w] = np.array(self.whole(lead + w), self.width).tobytes()
@@ -56,19 +90,26 @@ class Encoder:
                 plain.append(w)
         if plain:
             text = " " + "\n ".join(plain) if self.keeps_space else " \0 ".join(plain)
-            ids = np.array(self.whole(text), self.width)
-            size = self.width.itemsize
-            cut = np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            starts, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
-            if len(starts) != len(plain):
-                raise ValueError("a word holds the mark's id")
-            known.update(zip(plain, [raw[a:b] for a, b in zip(starts, ends)]))
+            known.update(zip(plain, self._parts(self.whole(text), self.mark_id, len(plain))))
+        if short:
+            text = f" {self.stop} ".join(runs)
+            known.update(zip(short, self._parts(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.stop_id, len(short))))
         if len(self.young) + len(known) > CACHE:
             self.old, self.young = self.young, {}
         self.young.update((w, b) for w, b in known.items() if len(w) <= LONGEST)
         return known
 
+    def _parts(self, ids: list[int], mark: int, n: int) -> list[bytes]:
+        """The ids between marks, as bytes."""
+        array = np.array(ids, self.width)
+        size = self.width.itemsize
+        cut = np.flatnonzero(array == mark)
+        raw = array.tobytes()
+        starts, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
+        if len(starts) != n:
+            raise ValueError("a word holds the mark's id")
+        return [raw[a:b] for a, b in zip(starts, ends)]
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as an array of `width`; a null text has none."""
         texts = [t or "" for t in texts]
@@ -83,7 +124,7 @@ class Encoder:
         get = self.young.get
         found = [list(map(get, words)) if words else [] for words in split]
         fresh = {w for words, ids in zip(split, found) if words for w, b in zip(words, ids) if b is None}
-        known = self._learn(sorted(fresh)) if fresh else {}
+        known = self._learn(list(fresh)) if fresh else {}
         out = []
         for text, words, ids, start in zip(texts, split, found, first):
             if words is None:
