@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mapped, table
+from weftline.llm.common import mapped, sampled, table
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^<]++|<""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -327,7 +327,7 @@ def trained(pages: list[str], seed: int = 7) -> Labeller:
 
 def learn(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample: int = PAGES) -> Labeller:
     """Learned in one task from at most `sample` pages, whatever the table's size."""
-    chosen = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample)
+    chosen = sampled(pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).filter("html is not null"), "page_id", sample, "html")
 
     def run(batches):
         texts = [t for b in batches for t in b["html"].to_pylist()]

@@ -13,7 +13,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mapped, table
+from weftline.llm.common import mapped, sampled, table
 
 #: (verdict, host, path); a rule is written host + path.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
@@ -93,9 +93,9 @@ class Bayes:
 
 
 def learn_words(pages: DataFrame, page_id: str = "page_id", html: str = "html", texts: int = TEXTS, words: int = WORDS) -> Words:
-    chosen = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).filter("html is not null").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(texts)
+    chosen = pages.select(F.col(page_id).alias("page_id"), F.col(html).alias("html")).filter("html is not null")
     plain = F.lower(F.regexp_replace("html", _TAGS, " "))
-    found = chosen.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).filter(f"word <> '' and length(word) <= {LONGEST}")
+    found = sampled(chosen, "page_id", texts, "html").select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).filter(f"word <> '' and length(word) <= {LONGEST}")
     top = found.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words).collect()
     return Words({r["word"]: r["count"] for r in top})
 
