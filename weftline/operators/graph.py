@@ -66,12 +66,17 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     return seen.filter("hop > 0")
 
 
-def _local_dominators(start, src, dst) -> tuple[list, list, list]:
-    """Nodes that reach start, their hops over all kinds and their immediate dominators in the graph of callers
-    rooted at start (iterating over reverse postorder until nothing changes)."""
+def _back(src, dst) -> dict:
+    """Callers of each node."""
     back: dict = {}
-    for a, b in zip(src, dst):
+    for a, b in zip(src.tolist(), dst.tolist()):
         back.setdefault(b, []).append(a)
+    return back
+
+
+def _local_dominators(start, back: dict) -> tuple[list, list]:
+    """Nodes that reach start over any kinds, and their depth in the dominator tree of the callers' graph rooted at start
+    (iterating over reverse postorder until nothing changes)."""
     order, state = [], [(start, iter(back.get(start, ())))]
     seen = {start}
     while state:
@@ -115,7 +120,7 @@ def _local_dominators(start, src, dst) -> tuple[list, list, list]:
     depth = [0] * len(order)
     for k in range(1, len(order)):
         depth[k] = depth[idom[k]] + 1
-    return order[1:], [order[idom[k]] for k in range(1, len(order))], depth[1:]
+    return order[1:], depth[1:]
 
 
 def _spread(region: DataFrame, steps: DataFrame, roots: DataFrame) -> DataFrame:
@@ -154,15 +159,20 @@ def dominators(edges: DataFrame, seeds: DataFrame, local: int = LOCAL) -> DataFr
     rooted at the seed. Depth 1: the seed itself is the immediate dominator."""
     steps = edges.select("src", "dst").distinct()
     if steps.count() <= local:
-        both = seeds.select("seed").distinct().crossJoin(F.broadcast(steps.agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))))
+        spark = edges.sparkSession
+        table = steps.toPandas()  # counted just now
+        shared = spark.sparkContext.broadcast((table["src"].to_numpy(), table["dst"].to_numpy()))
 
         def run(batches):
+            back = None
             for pdf in batches:
-                for seed, src, dst in zip(pdf["seed"], pdf["src"], pdf["dst"]):
-                    nodes, _, depth = _local_dominators(seed, src, dst)
-                    yield pd.DataFrame({"seed": seed, "node": nodes, "depth": depth}).astype("int64")
+                back = back or _back(*shared.value)
+                for seed in pdf["seed"]:
+                    nodes, depth = _local_dominators(seed, back)
+                    yield pd.DataFrame({"seed": seed, "node": nodes, "depth": depth}, dtype="int64")
 
-        return both.mapInPandas(run, "seed long, node long, depth long")
+        dealt = seeds.select("seed").distinct().repartition(spark.sparkContext.defaultParallelism)
+        return dealt.mapInPandas(run, "seed long, node long, depth long")
     out = None
     for row in seeds.select("seed").distinct().toLocalIterator():
         start = edges.sparkSession.createDataFrame([(row["seed"],)], "seed long")

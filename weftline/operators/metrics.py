@@ -103,8 +103,15 @@ def file_risk(churn: DataFrame, complexity: DataFrame, path: str) -> float | Non
 def symbol_churn(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
     """(symbol_id, commits): commits with a hunk over the symbol's lines. hunks: commit_id, path, start_line, end_line;
     ranges: symbol_id, path, first_line, last_line; lines count from 1, both ends belong."""
-    hit = hunks.join(ranges, "path").filter("start_line <= last_line and first_line <= end_line")
-    return hit.select("commit_id", "symbol_id").distinct().groupBy("symbol_id").agg(F.count("*").alias("commits"))
+    from weftline.operators.intervals import overlaps
+
+    # symbols on the same lines have the same commits, and hunks on the same lines the same symbols: classes meet, not rows
+    same = ranges.select("path", "first_line", "last_line").distinct()
+    lines = hunks.select("path", "start_line", "end_line").distinct()
+    met = overlaps(lines, same)
+    commits = hunks.distinct().join(met, ["path", "start_line", "end_line"]).select("commit_id", "path", "first_line", "last_line").distinct()
+    by = commits.groupBy("path", "first_line", "last_line").agg(F.count("*").alias("commits"))
+    return ranges.join(by, ["path", "first_line", "last_line"]).select("symbol_id", "commits")
 
 
 def god_modules(modules: DataFrame, edges: DataFrame, min_ce: int = 8, max_cohesion: float = 0.3, top: int = 5) -> DataFrame:
