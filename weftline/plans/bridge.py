@@ -89,3 +89,52 @@ class Bridge:
         l = self.raw("lineitem").filter(F.year("l_shipdate") == year)
         by = l.groupBy(F.col("l_partkey").cast("string").alias("name"), F.col("l_returnflag").alias("kind")).agg(F.max("l_quantity").cast("int").cast("string").alias("signature"))
         return by.withColumn("pos", F.lit(0))
+
+    @property
+    def crate_symbols(self) -> DataFrame:
+        """The symbols with paths as of a workspace of crates: the brand's number gives crate and layer."""
+        n = F.regexp_extract("file", r"(\d+)$", 1).cast("int")
+        part = F.when(n % 3 == 0, "src/domain").when(n % 3 == 1, "src/adapters").otherwise("src")
+        root = F.when(n % 7 == 0, F.lit("tools/")).otherwise(F.concat(F.lit("crates/c"), (n % 4).cast("string"), F.lit("/")))
+        return self.symbols.withColumn("file", F.concat(root, part, F.lit("/"), "file", F.lit(".rs")))
+
+    @property
+    def decls(self) -> DataFrame:
+        """One declaration a part, each in its own hundred bytes of the brand's file."""
+        p = self.raw("part")
+        return p.select(
+            F.col("p_brand").alias("path"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), (100 * F.col("p_partkey")).alias("def_bs"), (100 * F.col("p_partkey") + 90).alias("def_be"),
+            F.lit("Private").alias("visibility"), F.array().cast("array<string>").alias("attributes"), F.col("p_size").cast("long").alias("complexity"),
+        )
+
+    @property
+    def sites(self) -> DataFrame:
+        """path, bs, be, callee, shape, sym, roles: line items as places in the part's declaration that name another part."""
+        l = self.raw("lineitem").filter(F.col("l_orderkey") % STEP == 0)
+        a = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
+        b = self.raw("part").select(F.col("p_partkey").alias("l_suppkey"), F.col("p_name").alias("callee"))
+        bs = 100 * F.col("l_partkey") + F.col("l_linenumber")
+        shape = F.when(F.col("l_returnflag") == "A", "free").when(F.col("l_returnflag") == "N", "method").otherwise("path")
+        role = F.col("l_linenumber") % 5
+        roles = F.when(role == 0, 1).when(role == 1, 2).when(role == 2, 4).when(role == 3, 8).otherwise(0)
+        out = l.join(a, "l_partkey").join(b, "l_suppkey")
+        return out.select("path", bs.alias("bs"), (bs + 1).alias("be"), "callee", shape.alias("shape"), F.concat(F.lit("k"), (F.col("l_suppkey") % 50).cast("string")).alias("sym"), roles.alias("roles")).distinct()
+
+    @property
+    def relationships(self) -> DataFrame:
+        n = self.raw("nation")
+        key = lambda c: F.concat(F.lit("k"), F.col(c).cast("string"))
+        return n.select(F.lit("").alias("path"), key("n_nationkey").alias("from_key"), key("n_regionkey").alias("to_key"), (F.col("n_nationkey") % 2 == 0).alias("is_impl"), (F.col("n_nationkey") % 3 == 0).alias("is_type"))
+
+    @property
+    def wide_decls(self) -> DataFrame:
+        """decl_id, path, def_bs, def_be: overlapping spans."""
+        return self.raw("part").select(F.col("p_partkey").alias("decl_id"), F.col("p_brand").alias("path"), (10 * F.col("p_size")).alias("def_bs"), (10 * F.col("p_size") + 40 * (F.col("p_partkey") % 5 + 1)).alias("def_be"))
+
+    @property
+    def marks(self) -> DataFrame:
+        """site_id, path, bs, be over the same files."""
+        l = self.raw("lineitem").filter(F.col("l_orderkey") % 400 == 0)
+        p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
+        bs = 60 * F.col("l_linenumber") + F.col("l_quantity").cast("int")
+        return l.join(p, "l_partkey").select((100 * F.col("l_orderkey") + 10 * F.col("l_linenumber")).alias("site_id"), "path", bs.alias("bs"), (bs + 5).alias("be")).groupBy("site_id").agg(F.min(F.struct("path", "bs", "be")).alias("s")).select("site_id", "s.path", "s.bs", "s.be")

@@ -53,6 +53,20 @@ TABLES = {
  WHEN 'java' THEN list_has_any(list_transform(segs, lambda x: lower(x)), ['test','fact']) OR file LIKE '%src/test/%'
  WHEN 'csharp' THEN list_has_any(list_transform(segs, lambda x: lower(x)), ['test','fact','theory'])
  WHEN 'typescript' THEN file LIKE '%.test.%' OR file LIKE '%.spec.%' ELSE kind IN ('function','method') AND starts_with(name, 'test') END AS test FROM leaf""",
+    "crate_symbols": """SELECT * REPLACE (CASE WHEN n % 7 = 0 THEN 'tools/' ELSE 'crates/c' || (n % 4) || '/' END || CASE n % 3 WHEN 0 THEN 'src/domain' WHEN 1 THEN 'src/adapters' ELSE 'src' END || '/' || file || '.rs' AS file)
+ FROM (SELECT *, CAST(regexp_extract(file, '(\\d+)$', 1) AS INT) AS n FROM symbols)""",
+    "crates": """SELECT *, nullif(regexp_extract(file, '^crates/([^/]+)', 1), '') AS crate, CASE WHEN contains(file, 'src/domain') THEN 'Domain' WHEN contains(file, 'src/adapters') THEN 'Adapter' ELSE 'Interior' END AS layer FROM crate_symbols""",
+    "declared": """SELECT CAST('0x' || substr(sha256(concat_ws('#', file, kind, name, CAST(nth AS VARCHAR))), 1, 15) AS BIGINT) AS symbol_id, * FROM
+ (SELECT p_brand AS file, p_type AS kind, p_name AS name, 100 * p_partkey AS bs, row_number() OVER (PARTITION BY p_brand, p_type, p_name ORDER BY p_partkey) - 1 AS nth, p_partkey FROM part)""",
+    "sites": """SELECT DISTINCT a.p_brand AS path, 100 * l_partkey + l_linenumber AS bs, b.p_name AS callee, CASE l_returnflag WHEN 'A' THEN 'free' WHEN 'N' THEN 'method' ELSE 'path' END AS shape,
+ 'k' || (l_suppkey % 50) AS sym, CASE l_linenumber % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 8 ELSE 0 END AS roles FROM lineitem JOIN part a ON a.p_partkey = l_partkey JOIN part b ON b.p_partkey = l_suppkey WHERE l_orderkey % 40 = 0""",
+    "placed": "SELECT s.*, d.symbol_id AS src FROM sites s JOIN declared d ON d.p_partkey = s.bs // 100",
+    "resolved": """SELECT src, path, bs, coalesce((SELECT arg_min(symbol_id, bs) FROM declared d WHERE d.name = callee AND d.file = path),
+ CASE WHEN shape = 'free' THEN (SELECT arg_min(symbol_id, struct_pack(f := file, b := bs)) FROM declared d WHERE d.name = callee) END) AS dst FROM placed""",
+    "defs": "SELECT sym, arg_min(src, struct_pack(p := path, b := bs)) AS dst FROM placed WHERE roles % 2 = 1 GROUP BY sym",
+    "wide": "SELECT p_partkey AS decl_id, p_brand AS path, 10 * p_size AS def_bs, 10 * p_size + 40 * (p_partkey % 5 + 1) AS def_be FROM part",
+    "marks": """SELECT site_id, m.p AS path, m.b AS bs, m.b + 5 AS be FROM (SELECT 100 * l_orderkey + 10 * l_linenumber AS site_id, min(struct_pack(p := p_brand, b := 60 * l_linenumber + CAST(l_quantity AS INT))) AS m
+ FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 400 = 0 GROUP BY 1)""",
 }
 #: Recursive tables: reachability along callers from `tops`, and all pairs over the edges without direction of kinds.
 WALK = """walk AS (SELECT seed, seed AS node, 0 AS hop FROM tops UNION SELECT w.seed, e.src, w.hop + 1 FROM walk w JOIN edges e ON e.dst = w.node {kinds} WHERE w.hop < 3)"""
@@ -159,4 +173,30 @@ SQL = {
  WHEN contains(p, '.claude/') OR regexp_matches(lower(p), '[^/]\\.(toml|lock|json|yaml|yml)$') THEN 'Config' ELSE 'Source' END AS doc_kind FROM (SELECT page_id, url AS p FROM pages)""",
     "live_files": """SELECT user_id, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS last_event, count(*) AS events FROM events GROUP BY user_id HAVING arg_max(event_type, struct_pack(t := ts, i := event_id)) <> 'purchase'""",
     "outline_lines": "SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS filled FROM documents",
+    "symbol_ids": sql("SELECT symbol_id, file, kind, name, bs AS byte_start FROM declared"),
+    "scoped_edges": sql("SELECT src, dst, 'References' AS kind, file, byte_start FROM (SELECT src, dst, path AS file, bs AS byte_start, row_number() OVER (PARTITION BY src, dst ORDER BY path, bs) AS k FROM resolved WHERE dst IS NOT NULL AND dst <> src) WHERE k = 1"),
+    "occurrence_edges": sql("""SELECT DISTINCT src, dst, CASE roles WHEN 2 THEN 'Imports' WHEN 4 THEN 'Writes' WHEN 8 THEN 'Reads' ELSE 'References' END AS kind FROM placed JOIN defs USING (sym) WHERE roles <> 1 AND src <> dst
+ UNION SELECT a.dst, b.dst, k FROM (SELECT 'k' || n_nationkey AS f, 'k' || n_regionkey AS t, unnest(list_filter([CASE WHEN n_nationkey % 2 = 0 THEN 'Implements' END, CASE WHEN n_nationkey % 3 = 0 THEN 'TypeOf' END], lambda x: x IS NOT NULL)) AS k FROM nation)
+ JOIN defs a ON a.sym = f JOIN defs b ON b.sym = t WHERE a.dst <> b.dst"""),
+    "innermost": sql("SELECT site_id, decl_id FROM (SELECT site_id, decl_id, row_number() OVER (PARTITION BY site_id ORDER BY def_be - def_bs, def_bs, decl_id) AS k FROM marks m JOIN wide w ON w.path = m.path AND def_bs <= bs AND def_be >= be) WHERE k = 1"),
+    "container_or_largest": sql("""SELECT site_id, decl_id FROM (SELECT site_id, decl_id, row_number() OVER (PARTITION BY site_id ORDER BY o DESC, CASE WHEN o THEN def_be - def_bs ELSE def_bs - def_be END, def_bs, decl_id) AS k FROM
+ (SELECT *, def_bs <= bs AND def_be >= be AS o, bs <= def_bs AND be >= def_be AS i FROM (SELECT site_id, m.path, bs, be + 60 AS be FROM marks m) x JOIN wide w ON w.path = x.path) WHERE o OR i) WHERE k = 1"""),
+    "next_start": sql("SELECT site_id, decl_id FROM (SELECT site_id, decl_id, row_number() OVER (PARTITION BY site_id ORDER BY def_bs, decl_id) AS k FROM marks m JOIN wide w ON w.path = m.path AND def_bs >= be) WHERE k = 1"),
+    "crate_paths": sql("SELECT symbol_id, crate, layer, kind || ' in the ' || coalesce(crate || ' ', '') || lower(layer) || ' layer' AS role FROM crates"),
+    "boundary_violations": sql("""SELECT DISTINCT src, dst, CASE WHEN a.layer = 'Domain' AND b.layer = 'Adapter' THEN 'domain to adapter' WHEN a.crate = 'c1' AND b.crate <> 'c1' THEN 'core to other crate' ELSE 'adapter to adapter of another crate' END AS reason
+ FROM edges JOIN crates a ON a.symbol_id = src JOIN crates b ON b.symbol_id = dst WHERE a.layer = 'Domain' AND b.layer = 'Adapter' OR a.crate = 'c1' AND b.crate <> 'c1' OR a.layer = 'Adapter' AND b.layer = 'Adapter' AND a.crate <> b.crate"""),
+    "crate_edges": sql("SELECT DISTINCT a.crate AS from_crate, b.crate AS to_crate FROM edges JOIN crates a ON a.symbol_id = src JOIN crates b ON b.symbol_id = dst WHERE a.crate <> b.crate"),
+    "dominant_layer": sql("SELECT crate, arg_max(layer, struct_pack(n := n, o := CASE layer WHEN 'Domain' THEN 0 WHEN 'Adapter' THEN -1 ELSE -2 END)) AS layer FROM (SELECT crate, layer, count(DISTINCT file) AS n FROM crates WHERE crate IS NOT NULL GROUP BY 1, 2) GROUP BY crate"),
+    "synopsis": sql("SELECT count(DISTINCT crate) AS crates, count(DISTINCT layer) AS layers, count(DISTINCT symbol_id) AS symbols, (SELECT count(*) FROM edges) AS edges, array_to_string(list_sort(list(DISTINCT lang)), ',') AS languages FROM crates"),
+    "architecture": sql("""SELECT m.crate, d.layer, ca, ce, round(CASE WHEN ca + ce = 0 THEN 0.0 ELSE CAST(ce AS DOUBLE) / (ca + ce) END, 9) AS instability FROM
+ (SELECT c.crate, (SELECT count(DISTINCT src) FROM edges JOIN crates x ON x.symbol_id = src JOIN crates y ON y.symbol_id = dst WHERE y.crate = c.crate AND x.crate IS DISTINCT FROM c.crate) AS ca,
+ (SELECT count(DISTINCT dst) FROM edges JOIN crates x ON x.symbol_id = src JOIN crates y ON y.symbol_id = dst WHERE x.crate = c.crate AND y.crate IS DISTINCT FROM c.crate) AS ce FROM (SELECT DISTINCT crate FROM crates WHERE crate IS NOT NULL) c) m
+ JOIN (SELECT crate, arg_max(layer, struct_pack(n := n, o := CASE layer WHEN 'Domain' THEN 0 WHEN 'Adapter' THEN -1 ELSE -2 END)) AS layer FROM (SELECT crate, layer, count(DISTINCT file) AS n FROM crates WHERE crate IS NOT NULL GROUP BY 1, 2) GROUP BY crate) d ON d.crate = m.crate"""),
+    "layering": sql("""SELECT node, max(d) AS layer FROM level JOIN named ON named.c = level.c GROUP BY node""", CLOSURE, CYCLE,
+        "named AS (SELECT symbol_id AS node, coalesce(cycle, symbol_id) AS c FROM symbols LEFT JOIN cycle ON node = symbol_id)",
+        "up AS (SELECT DISTINCT x.c AS a, y.c AS b FROM edges JOIN named x ON x.node = src JOIN named y ON y.node = dst WHERE x.c <> y.c)",
+        "level AS (SELECT DISTINCT c, 0 AS d FROM named UNION SELECT up.a, d + 1 FROM level JOIN up ON up.b = level.c)"),
+    "page": sql("SELECT symbol_id, complexity, CAST(place AS INT) AS place FROM (SELECT symbol_id, complexity, row_number() OVER (ORDER BY complexity DESC, symbol_id) AS place FROM symbols) WHERE place > 20 AND place <= 30"),
+    "stale_keys": sql("SELECT symbol_id FROM symbols WHERE complexity % 3 <> 0"),
+    "merge_pairs": sql("SELECT a, b, count FROM co"),
 }

@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import cut
-from weftline.operators import graph, impact, metrics, navigate, rules
+from weftline.functions.paging import ranked
+from weftline.operators import derive, graph, impact, intervals, metrics, navigate, rules
+from weftline.plans import documents
 from weftline.plans.bridge import Bridge
 from weftline.plans.oracles import SQL
+from weftline.plans.store import stale
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -115,6 +118,39 @@ def _lines(b: Bridge) -> DataFrame:
     return b.raw("documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("filled"))
 
 
+def _declared(b: Bridge) -> DataFrame:
+    files = b.decls.select("path").distinct().withColumn("size", F.lit(0).cast("long"))
+    return derive.symbols(b.decls, files)
+
+
+def _scoped(b: Bridge) -> DataFrame:
+    none = b.spark.createDataFrame([], "path string, name string, bs long, be long")
+    return derive.scoped_edges(_declared(b), b.sites.select("path", "callee", "shape", "bs", "be"), none, none).select("src", "dst", "kind", "file", "byte_start")
+
+
+def _occurrences(b: Bridge) -> DataFrame:
+    return derive.occurrence_edges(_declared(b), b.sites.select("path", "sym", "bs", "be", "roles"), b.relationships).select("src", "dst", "kind")
+
+
+def _crate_files(b: Bridge) -> DataFrame:
+    path = F.col("file")
+    return b.crate_symbols.select(path.alias("path"), "lang", rules.crate_of(path).alias("crate"), rules.layer_of(path).alias("layer")).distinct()
+
+
+def _synopsis(b: Bridge) -> DataFrame:
+    return metrics.synopsis(_crate_files(b), b.crate_symbols, b.edges).withColumn("languages", F.array_join("languages", ","))
+
+
+def _architecture(b: Bridge) -> DataFrame:
+    out = documents.architecture(b.crate_symbols, b.edges).filter("crate <> ''")
+    return rounded(out.select("crate", "layer", "ca", "ce", "instability"), "instability")
+
+
+def _pair_halves(b: Bridge) -> DataFrame:
+    c = b.commit_files
+    return metrics.merge_pairs(metrics.co_change_counts(c.filter("commit_id % 2 = 0")), metrics.co_change_counts(c.filter("commit_id % 2 = 1")))
+
+
 _PLANS = {
     "list_symbols": lambda b: navigate.list_symbols(b.symbols, "ring", "ECONOMY").select("symbol_id", "name", "kind", "file"),
     "find_definition": lambda b: navigate.find_definition(b.symbols, "small ring").select("symbol_id", "name", "kind", "file"),
@@ -161,6 +197,22 @@ _PLANS = {
     "doc_kinds": lambda b: b.raw("pages").select("page_id", rules.doc_kind(F.col("url")).alias("doc_kind")),
     "live_files": _live,
     "outline_lines": _lines,
+    "symbol_ids": lambda b: _declared(b).select("symbol_id", "file", "kind", "name", "byte_start"),
+    "scoped_edges": _scoped,
+    "occurrence_edges": _occurrences,
+    "innermost": lambda b: intervals.innermost(b.marks, b.wide_decls).select("site_id", "decl_id"),
+    "container_or_largest": lambda b: intervals.container_or_largest(b.marks.withColumn("be", F.col("be") + 60), b.wide_decls, "site_id").select("site_id", "decl_id"),
+    "next_start": lambda b: intervals.next_start(b.marks, b.wide_decls, "site_id").select("site_id", "decl_id"),
+    "crate_paths": lambda b: b.crate_symbols.select("symbol_id", rules.crate_of(F.col("file")).alias("crate"), rules.layer_of(F.col("file")).alias("layer"), rules.role(F.col("kind"), F.col("file")).alias("role")),
+    "boundary_violations": lambda b: rules.boundary_violations(b.crate_symbols, b.edges, "c1"),
+    "crate_edges": lambda b: documents.crate_edges(b.crate_symbols, b.edges),
+    "dominant_layer": lambda b: metrics.dominant_layer(_crate_files(b).select("path", "crate", "layer").distinct()),
+    "synopsis": _synopsis,
+    "architecture": _architecture,
+    "layering": lambda b: graph.layers(cut(b.edges), b.symbols),
+    "page": lambda b: ranked(b.symbols.select("symbol_id", "complexity"), [F.desc("complexity"), F.col("symbol_id")], 20, 10),
+    "stale_keys": lambda b: stale(b.symbols, b.symbols.filter("complexity % 3 = 0"), ["symbol_id"]),
+    "merge_pairs": _pair_halves,
 }
 
 
