@@ -1,13 +1,15 @@
 """Ids of public tokenizers, with a cache of words.
 
-Both vocabularies cut a text at white space before they merge anything, so a text's ids are those of its words one after
-the other. Words met before come from a cache of bounded size; new ones go to the tokenizers library in one call. New
-words of Latin letters, with or without a point or the like at the end, need none of the library's normalising and
-cutting: they go straight to its model, in the byte alphabet that the file's pre-tokenizer would have written them in."""
+Both vocabularies cut a text into runs before they merge anything, and never across white space, so a text's ids are those
+of its words one after the other. Words met before come from a cache of bounded size. New words of Latin-1 characters
+need none of the library's normalising and cutting: they are cut here, written in the byte alphabet that the file's
+pre-tokenizer would have used, and go to the file's model in one call. What is left goes through the file's own pipeline."""
 
 from __future__ import annotations
 
 import os
+import re
+from itertools import filterfalse
 
 import numpy as np
 
@@ -15,8 +17,11 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words in each of the cache's two generations, and the longest word kept.
 CACHE, LONGEST = 350_000, 48
-#: Marks that may end a word on the short way; they form one run after the letters.
-ENDS = ".,;:!?"
+_LETTERS, _DIGITS, _SPACES = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", " \\t\\n\\v\\f\\r\\x85\\xa0"
+_REST = rf"[^{_LETTERS}{_DIGITS}{_SPACES}\0]++"
+#: Runs of Latin-1 text, with the white space that a run keeps, and without any. A null character stands between words.
+_KEPT = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]++| ?[{_DIGITS}]++| ?{_REST}|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
+_BARE = re.compile(rf"\0|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]++|[{_DIGITS}]|{_REST}")
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -34,108 +39,101 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        kind = type(self.tokenizer.pre_tokenizer).__name__
-        #: byte-level files keep white space: a word then has the white space before it
-        self.keeps_space = kind == "ByteLevel"
+        #: byte-level files keep white space and case: a word then has the white space before it
+        self.keeps = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.mark = "\n" if self.keeps_space else "\0"
-        self.mark_id = self.whole(self.mark)[0]
-        self.alphabet = byte_alphabet()
+        alphabet = byte_alphabet()
+        # characters as they are written; 1 ends a run and becomes the space that sets runs apart
+        written = {c: "".join(alphabet[b] for b in chr(c).encode()) for c in range(256)} | {1: " "}
+        self.written = {c: s for c, s in written.items() if s != chr(c)}
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.space, self.newline, self.stop = (self.alphabet[b] for b in (0x20, 0x0A, 0x00))
-        self.stop_id = self.bare.encode(self.stop, add_special_tokens=False).ids[0]
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.stop = self.bare.encode(alphabet[0], add_special_tokens=False).ids[0]
+        self.young, self.old = _Words(), _Words()
 
-    def whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width).tobytes()
 
     def _words(self, text: str) -> list[str] | None:
-        """Words whose ids, joined, are the text's ids. For a file that keeps white space, a word stands for itself with one
+        """Words whose ids, joined, are the text's. For a file that keeps white space, a word stands for itself with one
         space before it, or starts with a newline; None if the text has other white space than single ones between words."""
-        if not self.keeps_space:
+        if not self.keeps:
             return text.replace("\n", " ").split(" ")
         if " ".join(text.split()) != text.replace("\n", " "):
             return None
         return text.replace("\n", " \n").split(" ")
 
-    def _short(self, word: str) -> str | None:
-        """The word as the model takes it, runs apart by a space; None if it isn't letters and end marks of Latin-1."""
-        lead = self.space if self.keeps_space else ""
-        if word[0] == "\n" and self.keeps_space:
-            word, lead = word[1:], self.newline + " "
-        core = word.rstrip(ENDS)
-        if not core.isalpha() or core[-1] > "\xff" or not core.isascii() and max(core) > "\xff":
-            return None
-        ends = word[len(core) :]
-        if not self.keeps_space:
-            core = core.lower()
-        if not core.isascii():
-            core = core.encode().decode("latin-1").translate(self.alphabet)
-        return f"{lead}{core} {ends}" if ends else lead + core
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        known, plain, short, runs = {}, [], [], []
-        for w in words:
-            if w in self.old:
-                known[w] = self.old[w]
-            elif w and len(w) <= LONGEST and (run := self._short(w)):
-                short.append(w)
-                runs.append(run)
-            elif self.mark in w or not w or len(w) > LONGEST:
-                lead = " " if self.keeps_space and w[:1] != "\n" else ""
-                known[w] = np.array(self.whole(lead + w), self.width).tobytes()
-            else:
-                plain.append(w)
-        if plain:
-            text = " " + "\n ".join(plain) if self.keeps_space else " \0 ".join(plain)
-            known.update(zip(plain, self._parts(self.whole(text), self.mark_id, len(plain))))
-        if short:
-            text = f" {self.stop} ".join(runs)
-            known.update(zip(short, self._parts(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.stop_id, len(short))))
-        if len(self.young) + len(known) > CACHE:
-            self.old, self.young = self.young, {}
-        self.young.update((w, b) for w, b in known.items() if len(w) <= LONGEST)
-        return known
-
-    def _parts(self, ids: list[int], mark: int, n: int) -> list[bytes]:
-        """The ids between marks, as bytes."""
-        array = np.array(ids, self.width)
+    def _merged(self, words: list[str]) -> list[bytes]:
+        """Ids of words of Latin-1 characters, none of which is null or U+0001."""
+        text = "\0".join(words) if self.keeps else "\0".join(words).lower()
+        text = "\1".join((_KEPT if self.keeps else _BARE).findall(text)).translate(_Table(self.written))
+        array = np.array(self.bare.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.width)
         size = self.width.itemsize
-        cut = np.flatnonzero(array == mark)
-        raw = array.tobytes()
-        starts, ends = [0, *((cut + 1) * size).tolist()], [*(cut * size).tolist(), len(raw)]
-        if len(starts) != n:
+        cut = np.flatnonzero(array == self.stop) * size
+        if len(cut) != len(words) - 1:
             raise ValueError("a word holds the mark's id")
-        return [raw[a:b] for a, b in zip(starts, ends)]
+        raw = array.tobytes()
+        return [raw[a:b] for a, b in zip([0, *(cut + size).tolist()], [*cut.tolist(), len(raw)])]
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Takes the ids of words that the young cache lacks into it; long ones stay until the next call only."""
+        known = {w: self.old[w] for w in self.old.keys() & fresh}
+        new = [w for w in fresh if w not in known] if known else list(fresh)
+        try:
+            "".join(new).encode("latin-1")
+            plain = new
+        except UnicodeEncodeError:
+            plain = [w for w in new if max(w, default="") <= "\xff"]
+        if "\0" in (text := "".join(plain)) or "\1" in text:
+            plain = [w for w in plain if "\0" not in w and "\1" not in w]
+        lead = [w if w[:1] == "\n" else " " + w for w in plain] if self.keeps else plain
+        if plain:
+            known.update(zip(plain, self._merged(lead)))
+        if len(plain) < len(new):
+            known |= {w: self.whole(w if w[:1] == "\n" or not self.keeps else " " + w) for w in set(new).difference(plain)}
+        self.young.long = {w: known.pop(w) for w in new if len(w) > LONGEST}
+        self.young.update(known)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text as an array of `width`; a null text has none."""
         texts = [t or "" for t in texts]
-        split = [self._words(t) for t in texts]
-        first = [None] * len(texts)
-        if self.keeps_space:  # no space stands before a text's first word
-            for k, words in enumerate(split):
-                if words is not None and texts[k]:
-                    first[k] = words.pop(0)
-            heads = list(dict.fromkeys(w for w in first if w))
-            head = dict(zip(heads, (np.array(e.ids, self.width).tobytes() for e in self.tokenizer.encode_batch_fast(heads, add_special_tokens=False))))
-        get = self.young.get
-        found = [list(map(get, words)) if words else [] for words in split]
-        fresh = {w for words, ids in zip(split, found) if words for w, b in zip(words, ids) if b is None}
-        known = self._learn(list(fresh)) if fresh else {}
+        split = [self._words(t) if t else [] for t in texts]
+        first = {}
+        if self.keeps:  # no space stands before a text's first word
+            heads = {k: words.pop(0) for k, words in enumerate(split) if words}
+            encoded = self.tokenizer.encode_batch_fast(list(heads.values()), add_special_tokens=False)
+            first = {k: np.array(e.ids, self.width).tobytes() for k, e in zip(heads, encoded)}
+        if len(self.young) > CACHE:
+            self.old, self.young = self.young, _Words()
+        fresh: set[str] = set()
+        for words in split:
+            fresh.update(filterfalse(self.young.__contains__, words or ()))
+        self._learn(fresh)
+        ids = self.young.__getitem__
         out = []
-        for text, words, ids, start in zip(texts, split, found, first):
-            if words is None:
-                out.append(np.array(self.whole(text), self.width))
-                continue
-            if known:
-                ids = [known[w] if b is None else b for w, b in zip(words, ids)]
-            out.append(np.frombuffer((head[start] if start else b"") + b"".join(ids), self.width) if text else np.empty(0, self.width))
+        for k, (text, words) in enumerate(zip(texts, split)):
+            raw = self.whole(text) if words is None else first.get(k, b"") + b"".join(map(ids, words))
+            out.append(np.frombuffer(raw, self.width))
         return out
 
 
+class _Words(dict):
+    """Ids of words; long ones are held beside."""
+
+    long: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        return self.long[word]
+
+
+class _Table(dict):
+    """Characters without another form stand for themselves."""
+
+    def __missing__(self, c: int) -> int:
+        self[c] = c
+        return c
+
+
 _open: dict[str, Encoder] = {}
 
 
