@@ -22,6 +22,8 @@ REACH = {"chars_per_token": 4.0, "byte_share": 6.0, "entropy": 2.0}
 FLOOR = {"chars_per_token": 0.04, "byte_share": 0.004, "entropy": 0.25}
 #: Documents that a language or script needs for bands of its own; below that all documents' bands hold.
 ENOUGH = 50
+#: Languages and scripts up to which their bands are broadcast; more are joined by shuffling.
+FEW = 10_000
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _BLANK = b" \t\n\v\f\r"
 
@@ -144,7 +146,9 @@ def judged(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
     documents; where there are none at all, nothing passes the base rules either. Repeated rows are judged alike."""
     found = written(measured(docs, path, doc_id, text, lang), "fertility")
     good = found.filter(~F.col("base_failed"))
-    own = good.groupBy("group").agg(F.count("*").alias("_n"), *_quartiles()).filter(F.col("_n") >= ENOUGH).drop("_n")
+    own = written(good.groupBy("group").agg(F.count("*").alias("_n"), *_quartiles()).filter(F.col("_n") >= ENOUGH).drop("_n"), "bands")
+    if own.count() <= FEW:
+        own = F.broadcast(own)
     every = good.agg(*_quartiles())
     rest = found.join(own.select("group"), "group", "left_anti").crossJoin(F.broadcast(every))  # one row
     both = found.join(own, "group").unionByName(rest)
