@@ -17,7 +17,7 @@ from weftline.llm.common import mapped, table, written
 
 MIN_WORDS = 50
 #: Spreads that a band reaches beyond the quartiles: characters per token (both ways), byte share (up), entropy (down).
-REACH = {"chars_per_token": 4.0, "byte_share": 6.0, "entropy": 2.0}
+REACH = {"chars_per_token": 4.5, "byte_share": 6.0, "entropy": 2.0}
 #: Least width of a spread, so that a uniform corpus doesn't reject all else.
 FLOOR = {"chars_per_token": 0.04, "byte_share": 0.004, "entropy": 0.25}
 #: Documents that a language or script needs for bands of its own; below that all documents' bands hold.
@@ -133,7 +133,7 @@ def _quartiles() -> list[Column]:
 
 def _inside(m: str) -> Column:
     q = F.col(f"_{m}")
-    scatter = F.sqrt(F.greatest(F.lit(1.0), F.col("_median") / F.greatest(F.col("n_tokens"), F.lit(1)))) if m != "entropy" else F.lit(1.0)
+    scatter = F.sqrt(F.greatest(F.lit(1.0), F.col("_median") / F.greatest(F.col("n_tokens"), F.lit(1))))
     spread = REACH[m] * F.greatest(q[1] - q[0], F.lit(FLOOR[m])) * scatter
     low, high = F.col(m) >= q[0] - spread, F.col(m) <= q[1] + spread
     return {"chars_per_token": low & high, "byte_share": high, "entropy": low}[m]
