@@ -10,7 +10,7 @@ TABLES = {
     "hops": """SELECT l_orderkey, l_partkey, min(l_linenumber) AS n, min(l_returnflag) AS flag FROM lineitem WHERE l_orderkey % 40 = 0 GROUP BY 1, 2""",
     "pairs": """SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY n, l_partkey) AS dst,
  CASE flag WHEN 'A' THEN 'References' WHEN 'N' THEN 'Imports' ELSE 'TypeOf' END AS kind, n FROM hops""",
-    "stored": """SELECT src, dst, kind, min(n) * 10 AS byte_start, any_value(p_brand) AS file FROM pairs JOIN part ON p_partkey = src
+    "stored": """SELECT src, dst, kind, CAST(min(n) * 10 AS BIGINT) AS byte_start, any_value(p_brand) AS file FROM pairs JOIN part ON p_partkey = src
  WHERE dst IS NOT NULL AND src <> dst GROUP BY src, dst, kind""",
     "edges": """SELECT DISTINCT src, dst, CASE WHEN kind IN ('Defines','Imports','Reads','Writes','TypeOf') THEN kind WHEN kind = 'Implements' THEN 'Overrides' ELSE 'Calls' END AS kind FROM stored""",
     "modules": "SELECT file AS module, symbol_id, symbol_id % 5 = 0 AS is_abstract FROM symbols",

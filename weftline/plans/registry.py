@@ -33,7 +33,7 @@ def diff(b: Bridge) -> tuple[DataFrame, DataFrame]:
 
 def _references(b: Bridge) -> DataFrame:
     seed = tops(b).agg(F.min("seed")).first()[0]
-    return navigate.find_references(b.symbols, b.stored_edges, seed).select(F.lit(seed).alias("seed"), "*")
+    return navigate.find_references(b.symbols, b.stored_edges, seed).select(F.lit(seed).cast("long").alias("seed"), "*")
 
 
 def _file_deps(b: Bridge) -> DataFrame:
