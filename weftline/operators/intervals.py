@@ -1,7 +1,7 @@
 """Interval joins: overlap, innermost containment, the next start after a place, lines of byte places.
 
-Joins key on the file first, so a range condition is only tried within a file; files with many spans are cut into
-buckets of bytes or lines, which bounds what one key holds."""
+Joins key on the file first, so a range condition is only tried within a file; overlaps also key on buckets of lines.
+The others compare a file's sites with all of its declarations, which grows with the square of a file's size."""
 
 from __future__ import annotations
 
