@@ -1,4 +1,4 @@
-"""A corpus pipeline: language ID, SimHash near-dedup, substring dedup, benchmark decontamination, best-fit packing.
+"""A corpus pipeline: language ID, near-dedup by shingles, substring dedup, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir), where docs is all that its predecessor kept, and returns a DataFrame with the
 columns of docs; the last returns the placement of each document's pieces in training sequences."""
@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import decontaminate, langid, packing, simhash, substrings
+from weftline.llm import decontaminate, langid, packing, shingles, substrings
 from weftline.llm.common import remainder, table, written
 
 #: A document whose nearest profile is at over 1 - LEAST of the greatest distance is in none of the languages.
@@ -23,8 +23,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of SimHash near-duplicates: that of least doc_id."""
-    return simhash.deduplicated(docs)
+    """One document of each group of near copies, whose sets of five-word shingles have similarity 0.8 or more: that of least doc_id."""
+    return shingles.deduplicated(docs)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
