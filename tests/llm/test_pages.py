@@ -123,3 +123,9 @@ def test_other_layouts_and_empty_pages(spark):
     assert html.main_texts(again, [None, "", "<p>"]) == ["", "", ""]
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html.extracted(empty, model).count() == 0 and html.learn(empty) is not None
+
+
+def test_the_prior_counts_all_ruled_urls(spark):
+    rows = [(k, f"a{k}", "/x", "allow" if k % 4 else "block") for k in range(40)] + [(99, "b", "/", None)]
+    found = urls.learn_verdicts(spark.createDataFrame(rows, "page_id long, host string, path string, verdict string"), urls.Words({"x": 1}), 5)
+    assert found.prior == pytest.approx(np.log(11 / 31))

@@ -101,11 +101,11 @@ def learn_words(pages: DataFrame, page_id: str = "page_id", html: str = "html",
 
 
 def learn_verdicts(urls: DataFrame, words: Words, sample: int = URLS) -> Bayes:
-    """urls: page_id, host, path, verdict of a rule or null."""
-    seen, n = {"allow": Counter(), "block": Counter()}, {"allow": 0, "block": 0}
+    """urls: page_id, host, path, verdict of a rule or null. The prior counts all of them; words come from `sample` URLs a verdict."""
+    seen = {"allow": Counter(), "block": Counter()}
+    n = {"allow": 0, "block": 0} | {r["verdict"]: r["count"] for r in urls.filter("verdict is not null").groupBy("verdict").count().collect()}
     for kind in seen:
         rows = urls.filter(F.col("verdict") == kind).orderBy(F.xxhash64("page_id"), "page_id", "host", "path").limit(sample).select("host", "path").collect()
-        n[kind] = len(rows)
         for r in rows:
             seen[kind].update(words.tokens(r["host"], r["path"]))
     return Bayes(seen, n)
