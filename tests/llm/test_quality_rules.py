@@ -80,3 +80,9 @@ def test_few_documents_of_a_language_use_all_bands(spark, docs_of, words):
     docs = docs_of(rows).withColumn("lang", F.when(F.col("doc_id") == 7, F.lit(None)).when(F.col("doc_id") == 8, "xx").otherwise("en"))
     got = {x["doc_id"]: (x["group"], x["kept"]) for x in fertility.judged(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
     assert got[7] == ("script:latin", True) and got[8] == ("xx", True) and len(got) == 60
+
+
+def test_script_of_the_whole_text():
+    assert fertility.script("1 | 2 | 3\n" * 2000 + "слово " * 50) == "cyrillic"
+    assert fertility.script("a word " * 2000 + "слово " * 90_000) == "cyrillic"
+    assert fertility.script("12 \ud800 🙂") == "none" and fertility.script("") == "none"
