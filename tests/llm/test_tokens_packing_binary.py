@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -8,20 +9,36 @@ from tokenizers import Tokenizer
 from weftline.llm import binary, packing
 from weftline.llm.tokens import Encoder
 
-TEXTS = [None, "", " ", "\n", "a", "two words", " lead", "trail ", "a  b\n\nc\t d", "nl\nnl", "<|endoftext|> is text", "x" * 300, "don't we'll 's", "é ß Ü, œuvre. Σ ΑΣ ŉ", "a\x00b \x00", "İstanbul ﬁ ２ e\u0301", "words,. and;: marks!?", "１２ 3.4", "日本 語", "a\u00a0b\u2003c"]
+TEXTS = [None, "", " ", "\n", "a", "two words", " lead", "trail ", "a  b\n\nc\t d", "nl\nnl", "<|endoftext|> is text", "a <|endoftext|> b", "<|ENDOFTEXT|>", "<|startoftext|>x<|", "x" * 300, "don't we'll 's", "é ß Ü, œuvre. Σ ΑΣ ŉ", "a\x00b \x00", "İstanbul ﬁ ２ e\u0301", "words,. and;: marks!?", "１２ 3.4", "日本 語", "a\u00a0b\u2003c"]
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_the_library(name):
     path = public_tokenizers.path(name)
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     e = Encoder(path)
     want = [x.ids for x in plain.encode_batch([t or "" for t in TEXTS], add_special_tokens=False)]
     assert [x.tolist() for x in e.encode(TEXTS)] == want
     assert [x.tolist() for x in e.encode(TEXTS[::-1])] == want[::-1]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+@pytest.mark.parametrize("cache", [40, 800_000])
+def test_encoder_equals_the_library_on_random_texts(name, cache, monkeypatch):
+    from weftline.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE", cache)  # a small cache is emptied over and over
+    monkeypatch.setattr(tokens, "CALL", 50)
+    r = random.Random(5)
+    marks = ["a", "Zz", "é", "ß", "'s", ".", ",!", " ", " ", " ", "\n", "\t", "7", "½", "中", "\u0301", "\x00", "\x01", "\xa0", "\u2028", "word", "other", "<|", "|>", "endoftext", "x" * 60]
+    texts = ["".join(r.choices(marks, k=r.randint(0, 40))) for _ in range(600)] + [" ".join(r.choices(["one", "two,", "thrée", "(four)", "five's"], k=r.randint(1, 60))) for _ in range(200)]
+    plain = Tokenizer.from_file(public_tokenizers.path(name))
+    e = Encoder(public_tokenizers.path(name))
+    for k in range(0, len(texts), 50):
+        part = texts[k : k + 50]
+        assert [x.tolist() for x in e.encode(part)] == [plain.encode(t, add_special_tokens=False).ids for t in part]
+
+
 @pytest.mark.parametrize("n,pieces", [(1, [(0, 1)]), (2048, [(0, 2048)]), (2049, [(0, 1), (1, 2048)]), (5000, [(0, 904), (904, 2048), (2952, 2048)])])
 def test_cut(n, pieces):
     assert packing.cut(n) == pieces
@@ -104,15 +121,42 @@ def test_shard_needs_its_dictionary():
         binary.Shard(data, b"another")
 
 
+def test_dictionary_of_few_samples_is_their_bytes():
+    import zstandard
+
+    for samples in ([], [b"\x01\x00"], [bytes(range(200))] * 3):
+        dictionary = binary.trained(samples, b"\x01\x00")
+        raw = b"".join(samples) + bytes(range(100))
+        frame = binary._compressor(dictionary).compress(raw)
+        assert zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary)).decompress(frame) == raw
+    assert binary.trained([bytes([k, k // 3] * 50) for k in range(256)] * 8, b"\x01\x00")
+
+
+def test_least_id_and_no_id_are_told_apart(spark, docs_of, tmp_path):
+    low = -(1 << 63)
+    binary.write(docs_of([(low, "least"), (None, "none"), (None, ""), (5, "five")]), f"file://{tmp_path}/ids", public_tokenizers.path("word_bpe_49k.json"))
+    got = binary.read(spark, f"file://{tmp_path}/ids").collect()
+    assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got) == [(False, 0), (False, 0), (True, low), (True, 5)]
+    assert len(binary.get(spark, f"file://{tmp_path}/ids", low)) == 2
+
+
 def test_queries(spark):
+    """Both queries against the library alone, one call a text."""
     folder = "/root/testdata/sf0.001"
-    text = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     start = 0
-    e = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     for r in binary.op4_binary(spark, folder).orderBy("doc_id").collect():
-        ids = np.append(e.encode([text[r["doc_id"]]])[0], 1).astype("<u4")
+        ids = np.array([*plain.encode(text[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for d, t in text.items():
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want |= {(d, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.cut(len(ids)))}
     got = packing.op2_packing(spark, folder)
+    rows = got.collect()
+    assert {tuple(r[:5]) for r in rows} == want and len(rows) == len(want)
     total = got.agg({"length": "sum"}).first()[0]
     assert got.select("sequence_id").distinct().count() <= 1.02 * total / 2048 + 1

@@ -21,8 +21,8 @@ from weftline.llm.common import mapped, table, written
 from weftline.llm.tokens import encoder
 
 TOKENS = 2048
-#: Largest number of pieces in a sequence and sum of squared lengths. These values bind no sooner than TOKENS does.
-DOCUMENTS, ATTENTION = 2048, 2048 * 2048
+#: Largest number of pieces in a sequence, and largest sum of squared lengths: no more attention than one full piece asks for.
+DOCUMENTS, ATTENTION = 256, 2048 * 2048
 WEIGHTS = (1.0, 0.02, 0.02)
 GROUP = 8192
 END = 0
@@ -35,7 +35,10 @@ def cut(n: int, tokens: int = TOKENS) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", tokens: int = TOKENS) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of each row of docs; a null text is the end id alone."""
+    """(doc_id, piece, start, length, ids_crc32) of each row of docs; a null or empty text is the end id alone.
+
+    Only a text of more than `tokens` ids is cut, whatever its length. Rows that share a doc_id, null ones among them, are
+    cut each on its own. Empty docs: no rows. Only the two named columns are read, so others may have any name."""
 
     def work():
         def step(rows):
@@ -89,7 +92,10 @@ def best_fit(lengths: np.ndarray, capacity: tuple[int, int, int] = (TOKENS, DOCU
 
 
 def packed(found: DataFrame, capacity: tuple[int, int, int] = (TOKENS, DOCUMENTS, ATTENTION), weights: tuple[float, float, float] = WEIGHTS, rule: str = "norm", group: int = GROUP) -> DataFrame:
-    """pieces() with sequence_id and offset. Offsets of a sequence run from 0 without a gap. No piece: no rows."""
+    """pieces() with sequence_id and offset. Offsets of a sequence run from 0 without a gap. No piece: no rows.
+
+    Pieces of equal length are taken in order of doc_id, piece and crc; of sequences that fit equally well, the first open
+    one is taken. Pieces equal in all columns lie in one group, next to each other."""
     groups = max(1, round(found.count() / group))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +125,7 @@ def packed(found: DataFrame, capacity: tuple[int, int, int] = (TOKENS, DOCUMENTS
             yield done(pa.Table.from_batches(held), part)
 
     dealt = found.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    rows = dealt.repartition("_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
+    rows = dealt.repartitionByRange(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "doc_id", "piece", "ids_crc32")
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
