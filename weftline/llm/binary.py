@@ -3,12 +3,12 @@
 A data set is a folder of two Parquet tables, which any store that Spark writes to can hold: `dictionary`, one row with
 the zstandard dictionary trained on serialised id arrays, and `shards`, one row for each shard with its bytes:
 
-    magic, version, bytes an id, dictionary hash (xxh64), documents, ids before the shard within its range
+    magic, version, bytes an id, dictionary hash (xxh64), documents, those of them without an id, ids before the shard within its range
     doc_id int64[n], ids uint32[n], end of frame uint64[n]
     frames: one zstandard frame a document, independent of the others, over its little-endian ids
 
 The index gives any document's frame, so a short document costs one small read and no other is decompressed.
-Documents stand in ascending order of id over ranges, shards and places; a range's first place is the sum over the ranges before.
+Documents without an id come first; their place in doc_id holds 0. Documents stand in ascending order of id over ranges, shards and places; a range's first place is the sum over the ranges before.
 """
 
 from __future__ import annotations
@@ -28,34 +28,38 @@ from pyspark.sql import functions as F
 from weftline.llm.common import CLEANUP, mapped, sampled, shared_dir, table
 from weftline.llm.tokens import encoder
 
-MAGIC, VERSION = b"WFID", 1
-HEAD = struct.Struct("<4sHHQIQ")
-#: The dictionary is trained on the ids of so many documents, those of least xxhash64(doc_id), each to so many bytes.
+MAGIC, VERSION = b"WFID", 2
+HEAD = struct.Struct("<4sHHQIIQ")
+#: The dictionary is trained on all ids of so many documents, those of least xxhash64(doc_id), in parts of so many bytes.
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 2000, 1 << 14, 1 << 16
 LEVEL = 3
 #: A shard is closed at so many bytes of frames or documents.
 SHARD_BYTES, SHARD_DOCS = 4 << 20, 1 << 16
-#: Documents of a range, and ranges at most (then they are larger, which a shard's size doesn't follow).
-RANGE_DOCS, RANGES = 4_000, 4096
+#: Documents of a range, and ranges at most: beyond RANGE_DOCS * RANGES documents (2 * 10 ** 8) ranges grow, shards don't.
+RANGE_DOCS, RANGES = 4_000, 50_000
 END = 1
 
 
 def train(docs: DataFrame, path: str, sample: int = SAMPLE, end: int = END) -> bytes:
-    """A zstandard dictionary for the ids of docs (doc_id, text); empty where there is too little to train on."""
+    """A zstandard dictionary for the ids of docs (doc_id, text), trained in one task on whole documents of the sample. Where there
+    is too little to train on, the sampled ids themselves are the dictionary (raw content); without any, the end id repeated."""
     chosen = sampled(docs.filter("text is not null"), "doc_id", sample, "text")
 
-    def work():
-        def step(rows):
-            e = encoder(path)
-            return {"raw": [_raw(x, e.width, end)[:SAMPLE_BYTES] for x in e.encode(rows["text"])]}
+    def run(batches):
+        e = encoder(path)
+        whole = [_raw(x, e.width, end) for b in batches for k in range(0, b.num_rows, 64) for x in e.encode(b["text"].slice(k, 64).to_pylist())]
+        samples = sorted(w[k : k + SAMPLE_BYTES] for w in whole for k in range(0, len(w), SAMPLE_BYTES))
+        yield pa.RecordBatch.from_arrays([pa.array([trained(samples, e.width.type(end).tobytes())], pa.binary())], names=["dictionary"])
+
+    found = chosen.select("text").coalesce(1).mapInArrow(run, "dictionary binary").collect()
+    return bytes(found[0]["dictionary"]) if found else trained([], encoder(path).width.type(end).tobytes())
 
-        return step
 
-    samples = [bytes(r["raw"]) for r in mapped(chosen, work, "raw binary").collect()]
+def trained(samples: list[bytes], end: bytes) -> bytes:
     try:
-        return zstandard.train_dictionary(DICTIONARY, sorted(samples), level=LEVEL).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+        return zstandard.train_dictionary(DICTIONARY, samples, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:  # too few samples, or too much alike
+        return (32 * end + b"".join(samples))[-DICTIONARY:]
 
 
 def _raw(ids: np.ndarray, width: np.dtype, end: int) -> bytes:
@@ -70,17 +74,18 @@ def dictionary_hash(dictionary: bytes) -> int:
     return xxhash.xxh64_intdigest(dictionary) if dictionary else 0
 
 
-def shard(docs: list[int], ids: list[int], frames: list[bytes], width: int, dictionary: int, before: int) -> bytes:
-    """The bytes of a shard."""
+def shard(docs: list[int | None], ids: list[int], frames: list[bytes], width: int, dictionary: int, before: int) -> bytes:
+    """The bytes of a shard. Documents without an id (None) come first."""
+    nulls = docs.count(None)
     ends = np.cumsum([len(f) for f in frames], dtype=np.uint64)
-    return HEAD.pack(MAGIC, VERSION, width, dictionary, len(docs), before) + np.array(docs, "<i8").tobytes() + np.array(ids, "<u4").tobytes() + ends.astype("<u8").tobytes() + b"".join(frames)
+    return HEAD.pack(MAGIC, VERSION, width, dictionary, len(docs), nulls, before) + np.array([0] * nulls + docs[nulls:], "<i8").tobytes() + np.array(ids, "<u4").tobytes() + ends.astype("<u8").tobytes() + b"".join(frames)
 
 
 class Shard:
     """Reads a shard's bytes."""
 
     def __init__(self, data: bytes, dictionary: bytes):
-        magic, version, width, name, n, self.before = HEAD.unpack_from(data)
+        magic, version, width, name, n, self.nulls, self.before = HEAD.unpack_from(data)
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a shard of this format")
         if name != dictionary_hash(dictionary):
@@ -105,14 +110,15 @@ class Shard:
 
 
 def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text: str = "text", end: int = END, level: int = LEVEL) -> None:
-    """Writes the ids of each row of docs, each with the end id after it. A null text is the end id alone; rows that share an
-    id follow one another in order of their bytes, those without an id come first. Empty docs: no shard."""
+    """Writes the ids of each row of docs, each with the end id after it. A null or empty text is the end id alone, a very long
+    one is one frame; rows that share an id follow one another in order of their bytes, those without an id come first.
+    Only the two named columns are read, so others may have any name. Empty docs: a dictionary and no shard."""
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     dictionary = train(plain, path, end=end)
     spark.createDataFrame([(dictionary_hash(dictionary).to_bytes(8, "little"), bytearray(dictionary))], "hash binary, dictionary binary").write.parquet(f"{folder}/dictionary")
     ranges = min(RANGES, -(-max(1, plain.count()) // RANGE_DOCS))
-    bounds = plain.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 100 * ranges)).first()[0] if ranges > 1 else []
+    bounds = plain.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], min(100 * ranges, 1_000_000))).first()[0] if ranges > 1 else []
     bounds = sorted(set(bounds or []))
 
     def frames():
@@ -135,7 +141,8 @@ def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text:
 
         def told() -> pa.RecordBatch:
             docs, ids, parts = ([h[k] for h in held] for k in range(3))
-            row = (now, number, len(docs), sum(ids), docs[0], docs[-1], shard(docs, ids, parts, width, name, before))
+            known = [d for d in docs if d is not None]
+            row = (now, number, len(docs), sum(ids), known[0] if known else None, known[-1] if known else None, shard(docs, ids, parts, width, name, before))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, shape)], schema=shape)
 
         for batch in batches:
@@ -145,7 +152,7 @@ def write(docs: DataFrame, folder: str, path: str, doc_id: str = "doc_id", text:
                     number, before = (number + 1, before + sum(h[1] for h in held)) if where == now else (0, 0)
                     held, size = [], 0
                 now = where
-                held.append((d if d is not None else -(1 << 63), n, frame))
+                held.append((d, n, frame))
                 size += len(frame)
         if held:
             yield told()
@@ -182,8 +189,7 @@ def _read(spark: SparkSession, folder: str, make, kind: str, *names: str) -> Dat
                 start = base[where] + one.before
                 for k in range(len(one)):
                     value = make(one.ids(k))
-                    d = int(one.doc_ids[k])
-                    out["doc_id"].append(None if d == -(1 << 63) else d)
+                    out["doc_id"].append(int(one.doc_ids[k]) if k >= one.nulls else None)
                     out["start"].append(start)
                     for name, v in zip(names, value if len(names) > 1 else (value,)):
                         out[name].append(v)
@@ -200,7 +206,7 @@ def get(spark: SparkSession, folder: str, doc_id: int) -> list[int]:
     dictionary = bytes(spark.read.parquet(f"{folder}/dictionary").first()["dictionary"])
     for row in spark.read.parquet(f"{folder}/shards").filter((F.col("first_doc") <= doc_id) & (F.col("last_doc") >= doc_id)).select("bytes").toLocalIterator():
         one = Shard(bytes(row["bytes"]), dictionary)
-        k = int(np.searchsorted(one.doc_ids, doc_id))
+        k = one.nulls + int(np.searchsorted(one.doc_ids[one.nulls :], doc_id))
         if k < len(one) and one.doc_ids[k] == doc_id:
             return one.ids(k).tolist()
     raise LookupError(f"no document {doc_id}")
