@@ -88,9 +88,31 @@ def sampled(df: DataFrame, key: str, n: int, *rest: str) -> DataFrame:
     return chosen.orderBy(*order, *(F.xxhash64(c) for c in rest)).limit(n)
 
 
-def smallest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """Up to n rows of each group, by `order`. Spark keeps n rows a task before it shuffles (window group limit)."""
+#: Keys that a join spreads over SALTS places: those with more rows than MANY, and at most KEYS keys however many rows there are.
+MANY, KEYS, SALTS = 1000, 100_000, 32
+#: Parts that a group is dealt to before its least rows are chosen.
+SPREAD = 8
+
+
+def keyed_join(rows: DataFrame, one: DataFrame, keys: list[str], total: int, by: str, n: str = "n") -> DataFrame:
+    """rows joined to `one`, which has one row a key and in `n` the number of its rows. The rows of frequent keys are spread by
+    the hash of column `by`. total, the number of rows, bounds what is broadcast: at most KEYS keys can have over MANY and
+    over a KEYS-th part of all rows."""
+    many = max(MANY, total // KEYS)
+    hot = F.broadcast(one.filter(F.col(n) > many).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")
+    spread = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))).drop("_hot")
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col(n) > many, F.lit(SALTS - 1)).otherwise(F.lit(0))))
+    return spread.join(one.select("*", every.alias("_salt")).drop(n), [*keys, "_salt"]).drop("_salt")
+
+
+def smallest(df: DataFrame, by: list[str], order: list[Column], n: int, spread: str) -> DataFrame:
+    """Up to n rows of each group, by `order`. Each of SPREAD parts of a group, by the hash of column `spread`, gives its first n,
+    and the group's are chosen from these; Spark also keeps n rows a task before it shuffles (window group limit)."""
     from pyspark.sql import Window
 
-    rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    part = df.withColumn("_part", F.pmod(F.xxhash64(spread), F.lit(SPREAD)))
+    for keys in ([*by, "_part"], by):
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        part = part.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return part.drop("_part")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import mapped, remainder, smallest, table
@@ -108,14 +108,15 @@ class Profiles:
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Profiles:
-    """Profiles of the languages in `lang`. Rows without text or language teach nothing. At most `sample` documents of each
+    """Profiles of the languages in `lang`. Rows without text or language teach nothing, empty texts nothing either; repeated rows
+    count each. N-grams of equal count stand in order of their codes. No labelled row: no profile, and all texts are `und`. At most `sample` documents of each
     language are read; their n-grams are counted over whole texts. The driver gets PROFILE codes a language."""
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = smallest(known.select("lang", "doc_id"), ["lang"], order, sample).distinct()
+    ids = smallest(known.select("lang", "doc_id"), ["lang"], order, sample, "doc_id").distinct()
     if ids.count() <= 1_000_000:  # `sample` ids a language; a hundred languages and more are broadcast
         ids = F.broadcast(ids)
-    chosen = smallest(known.join(ids, ["lang", "doc_id"], "left_semi"), ["lang"], [*order, F.xxhash64("text")], sample)
+    chosen = smallest(known.join(ids, ["lang", "doc_id"], "left_semi"), ["lang"], [*order, F.xxhash64("text")], sample, "doc_id")
 
     def work():
         def step(rows):
@@ -133,15 +134,16 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return step
 
     counts = mapped(chosen, work, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    top = counts.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("place") <= PROFILE)
-    lists: dict[str, dict[int, int]] = {}
-    for r in top.select("lang", "place", "code").collect():
-        lists.setdefault(r["lang"], {})[r["place"]] = r["code"]
-    return Profiles({k: np.array([v[i] for i in sorted(v)], np.int64).view(np.uint64) for k, v in lists.items()})
+    lists: dict[str, list[tuple[int, int]]] = {}
+    for r in smallest(counts, ["lang"], [F.desc("n"), F.col("code")], PROFILE, "code").collect():
+        lists.setdefault(r["lang"], []).append((-r["n"], r["code"]))
+    return Profiles({k: np.array([code for _, code in sorted(v)], np.int64).view(np.uint64) for k, v in lists.items()})
 
 
 def predicted(docs: DataFrame, profiles: Profiles, keys: list[str], text: str = "text") -> DataFrame:
-    """Columns `keys` of docs with lang_pred, score (0 to 1) and margin. Whole texts are read; null or letterless ones are `und`, 0."""
+    """Columns `keys` of docs, which must not be named like the new ones, with lang_pred, score (0 to 1) and margin. Whole texts are
+    read, very long ones in parts; null, empty or letterless ones are `und`, 0; equal distances give the first language by
+    name. Repeated rows are judged alike. Empty docs: no rows."""
     kind = "lang_pred string, score double, margin double"
 
     import pandas as pd
@@ -156,7 +158,8 @@ def predicted(docs: DataFrame, profiles: Profiles, keys: list[str], text: str =
 
 
 def kept(docs: DataFrame, profiles: Profiles, least: float, text: str = "text") -> DataFrame:
-    """docs whose text has a letter and scores at least `least` with its language. All columns stay as they are."""
+    """docs whose text has a letter and scores at least `least` with its language. Null, empty and letterless texts go. All columns
+    stay as they are, whatever their names; repeated rows are judged alike. Empty docs: no rows."""
     import pandas as pd
     from pyspark.sql.pandas.functions import pandas_udf
 
