@@ -71,6 +71,41 @@ def test_links_are_complete(spark, bucket):
     assert len(got) <= 6 * 9 * len(fps)
 
 
+def test_upper_nodes_lead_to_every_link(spark):
+    """All links come through the index: the ranges it routes to hold every partner, and whole ranges are left out."""
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, 3000, np.uint64)
+    fps = np.unique(np.concatenate([base, base[:500] ^ np.uint64(5 << 40), base[500:900] ^ np.uint64(1)]))
+    df = spark.createDataFrame([(f, k) for k, f in enumerate(fps.view(np.int64).tolist())], "fp long, id long")
+    ranked = df.select("fp", "id", simhash.gray_rank(df["fp"]).alias("rank"))
+    top = simhash.upper(ranked)
+    rows = ranked.collect()
+    rank = np.array([x["rank"] for x in rows])
+    home = top.home(rank)
+    assert 200 < len(top.names) <= simhash.SUBTREES
+    routed = {(int(q), int(n)) for qs, ns in top.routes(fps, home, 2) for q, n in zip(qs, ns)}
+    assert len(routed) < 0.3 * len(fps) * len(top.names)
+    assert top.index.visited < len(fps) * len(top.names)
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2).tolist():
+            assert (i, max(home[i], home[j])) in routed or (j, max(home[i], home[j])) in routed
+    got = simhash.links(df).collect()
+    want = [(i, int(j)) for i in range(len(fps)) for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]) <= 2) if i < j]
+    assert unite(range(len(fps)), [tuple(x) for x in got]) == unite(range(len(fps)), want)
+
+
+def test_index_prunes_whole_groups():
+    r = np.random.default_rng(8)
+    fps = np.unique(r.integers(0, 1 << 63, 5000, np.uint64))
+    rank = fps.copy()
+    for n in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(n)
+    fps = fps[np.argsort(rank)]
+    index = simhash.GrayIndex(fps)
+    found = [(int(a), int(b)) for q, n in index.search(fps[:50], 2) for a, b in zip(q, n)]
+    assert set(found) >= {(k, k) for k in range(50)} and index.visited < 50 * 1500
+
+
 def test_components(spark):
     r = random.Random(6)
     links = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(k, k + 1) for k in range(100, 140)]

@@ -1,32 +1,31 @@
-"""SimHash near-duplicates linked through Gray-ordered hierarchical indexes.
-
-Distinct fingerprints meet in buckets that agree on two of four 16-bit blocks: fingerprints with two or fewer
-differing bits always share such a bucket. In a bucket they are sorted by Gray rank and indexed as a tree whose
-upper nodes hold the bits that all below agree on; a search adds up differences on the way down and leaves whole
-groups as soon as they exceed the limit. A bucket above BUCKET members is dealt again by further blocks of the bits
-that are still free, until at most 2 ** 14 patterns can be left in one, so no bucket is cut and none is unbounded.
-A bucket returns a spanning forest of its links, never all pairs.
+"""SimHash near-duplicates found through Gray-ordered hierarchical indexes.
+
+Fingerprints are sorted by Gray rank. An index node keeps the bit pattern that all fingerprints below it share, less what
+the nodes above it hold already; a search adds up the differences on the way down and leaves whole groups as soon as they
+exceed the limit. Over a corpus the order is cut into ranges: each range is a subtree, and the patterns shared by ranges
+are the index's upper nodes, which every task has. A fingerprint goes to the subtrees that the upper nodes leave, and only
+to its own and later ones, so that each pair meets once. No range depends on a key's frequency, nothing is cut off, and a
+task returns a spanning forest of its links, never all pairs. At most 2080 fingerprints are within two bits of one.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import mapped, table, text_bytes, written
+from weftline.llm.common import keyed_join, mapped, table, text_bytes, written
 from weftline.llm.components import components
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
-#: Members of a bucket that one index takes.
-BUCKET = 8192
-#: Children of an index node; buckets up to LEAF members are compared outright.
-FAN, LEAF = 8, 48
-#: Rows of (query, node) pairs held at once.
-FRONTIER = 1 << 18
+#: Subtrees, at least, and the fingerprints that one takes before there are more subtrees.
+SUBTREES, BUCKET = 256, 1 << 22
+#: Children of an index node.
+FAN = 8
+#: Words of (query, node) pairs held at once, and visitors of a subtree that are looked up at once.
+FRONTIER, VISITORS = 1 << 18, 1 << 16
 
 
 def fingerprint(text: bytes, size: int = SHINGLE) -> int:
@@ -63,43 +62,62 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def gray_rank(fp: Column) -> Column:
-    """Place of a bit pattern in the reflected Gray code: the prefix parity of its bits."""
+    """Place of a bit pattern in the reflected Gray code (the prefix parity of its bits), as a long of the same order."""
     for n in (1, 2, 4, 8, 16, 32):
         fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, n))
-    return fp
+    return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
 class GrayIndex:
-    """Tree over fingerprints that are sorted by Gray rank. A node keeps, of the bits all fingerprints below it agree on,
-    those that its parent lacks (mask) and their values (bits); the leaves keep the rest."""
-
-    def __init__(self, fps: np.ndarray, fan: int = FAN):
-        self.levels, self.fan = [], fan
-        value, same = fps, np.full(len(fps), ~np.uint64(0))
-        raw = [(value, same)]
+    """Tree over patterns that are sorted by Gray rank: an array of 64-bit words, or rows of several. A node keeps, of the bits
+    that all patterns below it agree on, those that its parent lacks; the leaves keep the rest. `same` marks the bits that
+    hold for a pattern (all without it). `visited` counts the nodes that searches have looked at."""
+
+    def __init__(self, fps: np.ndarray, same: np.ndarray | None = None, fan: int = FAN):
+        self.fan, self.visited = fan, 0
+        value = fps.reshape(len(fps), -1)
+        same = np.full(value.shape, ~np.uint64(0)) if same is None else same.reshape(value.shape)
+        self.value, self.same = [value], [same]
         while len(value) > 1:
             starts = np.arange(0, len(value), fan)
-            both_and = np.bitwise_and.reduceat(value, starts)
-            both_or = np.bitwise_or.reduceat(value, starts)
-            same = np.bitwise_and.reduceat(same, starts) & ~(both_and ^ both_or)
-            value = both_and
-            raw.append((value, same))
-        for k, (value, same) in enumerate(raw):
-            above = raw[k + 1][1][np.arange(len(value)) // fan] if k + 1 < len(raw) else np.uint64(0)
-            self.levels.append((value, same & ~above))
-
-    def search(self, queries: np.ndarray, limit: int):
-        """Yields arrays (query position, fingerprint position) of all within `limit` bits, in pieces of bounded size."""
-        top = len(self.levels) - 1
-        todo = [(top, np.repeat(np.arange(len(queries)), len(self.levels[top][0])), np.tile(np.arange(len(self.levels[top][0])), len(queries)), np.zeros(len(queries) * len(self.levels[top][0]), np.uint8))]
+            low = np.bitwise_and.reduceat(value, starts)
+            differ = low ^ np.bitwise_or.reduceat(value, starts)
+            same = np.bitwise_and.reduceat(same, starts) & ~differ
+            value = low
+            self.value.append(value)
+            self.same.append(same)
+        self.mask = [s if k + 1 == len(self.same) else s & ~self.same[k + 1][np.arange(len(s)) // fan] for k, s in enumerate(self.same)]
+
+    def search(self, queries: np.ndarray, limit: int, first: np.ndarray | None = None, last: np.ndarray | None = None):
+        """Yields arrays (query position, pattern position) of all within `limit` bits, in pieces of bounded size. Of a query,
+        only patterns from `first` up to before `last` count, and the search starts at the least nodes that cover these."""
+        queries = queries.reshape(len(queries), -1)
+        n = len(self.value[0])
+        first = np.zeros(len(queries), np.int64) if first is None else first
+        last = np.full(len(queries), n) if last is None else last
+        todo = []
+        # of its level, the nodes over a query's span are at most fan + 1
+        level = np.zeros(len(queries), np.int64)
+        for k in range(1, len(self.value)):
+            level[last - first > self.fan**k] = k
+        for k in np.unique(level).tolist():
+            q = np.flatnonzero((level == k) & (last > first))
+            low = first[q] // self.fan**k
+            many = (last[q] - 1) // self.fan**k - low + 1
+            ends = np.cumsum(many)
+            node = np.repeat(low - ends + many, many) + np.arange(ends[-1] if len(ends) else 0)
+            todo.append((k, np.repeat(q, many), node, None))
+        room = max(64, FRONTIER // queries.shape[1])
         while todo:
             k, q, node, gone = todo.pop()
-            if len(q) > FRONTIER:
+            if len(q) > room:
                 cut = len(q) // 2
-                todo += [(k, q[:cut], node[:cut], gone[:cut]), (k, q[cut:], node[cut:], gone[cut:])]
+                todo += [(k, q[:cut], node[:cut], gone if gone is None else gone[:cut]), (k, q[cut:], node[cut:], gone if gone is None else gone[cut:])]
                 continue
-            value, mask = self.levels[k]
-            gone = gone + np.bitwise_count((queries[q] ^ value[node]) & mask[node])
+            self.visited += len(q)
+            whole = self.same if gone is None else self.mask  # a search that starts here counts what the nodes above hold too
+            far = np.bitwise_count((queries[q] ^ self.value[k][node]) & whole[k][node]).sum(axis=1, dtype=np.int16)
+            gone = far if gone is None else gone + far
             near = gone <= limit
             q, node, gone = q[near], node[near], gone[near]
             if not len(q):
@@ -109,126 +127,148 @@ class GrayIndex:
                 continue
             child = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
             q, gone = np.repeat(q, self.fan), np.repeat(gone, self.fan)
-            there = child < len(self.levels[k - 1][0])
+            size = self.fan ** (k - 1)
+            there = (child < len(self.value[k - 1])) & (child * size < last[q]) & ((child + 1) * size > first[q])
             todo.append((k - 1, q[there], child[there], gone[there]))
 
 
-def spanning(fps: np.ndarray, limit: int = DISTANCE) -> list[tuple[int, int]]:
-    """Positions (i, root) that join what is linked among fps, which are distinct and in Gray order."""
-    n = len(fps)
-    label = np.arange(n)
-    if n <= LEAF:
-        pieces = [np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps) <= limit, 1))]
-    else:
-        pieces = GrayIndex(fps).search(fps, limit)
-    for i, j in pieces:
-        while True:  # min labels along these links, with jumps, until they agree
-            low = np.minimum(label[i], label[j])
-            np.minimum.at(label, label[i], low)
-            np.minimum.at(label, label[j], low)
-            label = label[label]
-            if (label[i] == label[j]).all():
-                break
+def _label(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels after the links i - j: least labels along them, with jumps, until they agree."""
+    while True:
+        low = np.minimum(label[i], label[j])
+        np.minimum.at(label, label[i], low)
+        np.minimum.at(label, label[j], low)
+        label = label[label]
+        if (label[i] == label[j]).all():
+            return label
+
+
+def _roots(label: np.ndarray) -> np.ndarray:
     while (label != label[label]).any():
         label = label[label]
-    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(n))]
+    return label
 
 
-def _blocks(bits: list[int], n: int) -> list[list[int]]:
-    """The bit positions dealt into n runs."""
-    return [x.tolist() for x in np.array_split(np.array(bits), n)]
+def spanning(fps: np.ndarray, limit: int = DISTANCE) -> list[tuple[int, int]]:
+    """Positions (i, root) that join what is linked among fps, which are distinct and in Gray order."""
+    label, n = np.arange(len(fps)), np.arange(len(fps))
+    for i, j in GrayIndex(fps).search(fps, limit, n + 1, np.full(len(fps), len(fps))) if len(fps) > 1 else ():
+        label = _label(label, i, j)
+    label = _roots(label)
+    return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(fps)))]
 
 
-def _mask(bits: list[int]) -> int:
-    m = sum(1 << b for b in bits)
-    return m - (1 << 64) if m >= 1 << 63 else m
+class Upper:
+    """The index's upper nodes: ranges of the Gray order, and the bits that all fingerprints of a range share."""
 
+    def __init__(self, bounds: list[int], nodes: list[tuple[int, int, int]]):
+        self.bounds = np.array(bounds, np.int64)
+        self.names = np.array([k for k, _, _ in nodes], np.int64)
+        low, high = (np.array([x[c] for x in nodes], np.int64).view(np.uint64) for c in (1, 2))
+        self.index = GrayIndex(low, ~(low ^ high)) if nodes else None
 
-def _keys(fp: Column, choices: list[tuple[int, int]]) -> Column:
-    return F.explode(F.array(*(F.struct(F.lit(c).alias("way"), fp.bitwiseAND(F.lit(m)).alias("bits")) for c, m in choices)))
+    def home(self, rank: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds, rank, side="left")
 
+    def routes(self, fps: np.ndarray, home: np.ndarray, limit: int):
+        """Yields (query position, range): its own range and those after it that may hold a fingerprint within `limit` bits."""
+        at = np.searchsorted(self.names, home)
+        for q, node in self.index.search(fps, limit, at, np.full(len(fps), len(self.names))):
+            yield q, self.names[node]
 
-def _bucket_links(rows: DataFrame, limit: int, at_most: int) -> DataFrame:
-    """rows: way, bits, fp, id, rank. Links (a, b) of each bucket (way, bits), as a spanning forest over ids."""
 
-    def work():
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def group(fp, ids):
-            for i, root in spanning(fp, limit) if len(fp) > 1 else ():
-                yield ids[i], ids[root]
-
-        def step(batch):
-            way, bits, fp, ids = batch
-            if held:
-                way, bits, fp, ids = (np.concatenate(x) for x in zip(held.pop(), (way, bits, fp, ids)))
-            edge = np.flatnonzero((way[1:] != way[:-1]) | (bits[1:] != bits[:-1])) + 1
-            cuts = [0, *edge.tolist()]
-            out = []
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1:
-                    out += group(fp[a:b], ids[a:b])
-            held.append((way[cuts[-1] :], bits[cuts[-1] :], fp[cuts[-1] :], ids[cuts[-1] :]))
-            return out
-
-        return step, lambda: [x for h in held for x in group(h[2], h[3])]
+def upper(ranked: DataFrame, bucket: int = BUCKET) -> Upper:
+    """The upper nodes over ranked (fp, rank): SUBTREES of them, or more where these would hold over `bucket` fingerprints
+    each. The driver gets three numbers a node."""
+    n = ranked.count()
+    parts = min(n, max(SUBTREES, -(-n // bucket)))
+    found = ranked.agg(F.percentile_approx("rank", [k / parts for k in range(1, parts)], min(1_000_000, 20 * parts))).first()[0] if parts > 1 else []
+    bounds = sorted(set(found or []))
 
     def run(batches):
-        import pyarrow as pa
+        own = Upper(bounds, [])
+        for b in batches:
+            fp, home = b["fp"].to_numpy(), own.home(b["rank"].to_numpy())
+            order = np.argsort(home, kind="stable")
+            start = np.flatnonzero(np.diff(home[order], prepend=-1))
+            cols = (home[order][start], np.bitwise_and.reduceat(fp[order], start), np.bitwise_or.reduceat(fp[order], start)) if len(fp) else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["node", "low", "high"])
 
-        step, rest = work()
-        shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    nodes = ranked.select("fp", "rank").mapInArrow(run, "node long, low long, high long").groupBy("node").agg(F.expr("bit_and(low)"), F.expr("bit_or(high)"))
+    return Upper(bounds, sorted(tuple(r) for r in nodes.collect()))
 
-        def told(out):
-            return pa.RecordBatch.from_arrays([pa.array([int(x) for x, _ in out], pa.int64()), pa.array([int(x) for _, x in out], pa.int64())], schema=shape)
 
-        for batch in batches:
-            if batch.num_rows:
-                yield told(step((batch["way"].to_numpy(), batch["bits"].to_numpy(), batch["fp"].to_numpy().view(np.uint64), batch["id"].to_numpy())))
-        yield told(rest())
-
-    dealt = rows.repartition("way", "bits").sortWithinPartitions("way", "bits", "rank")
-    return dealt.select("way", "bits", "fp", "id").mapInArrow(run, "a long, b long")
+def links(fps: DataFrame, limit: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
+    """fps: (fp, id), fp distinct. (a, b): ids whose closure links all fingerprints with `limit` or fewer differing bits.
+    Empty fps: no rows. Each subtree is held by one task; those that visit it pass through in parts of VISITORS."""
+    ranked = fps.select("fp", "id", gray_rank(F.col("fp")).alias("rank"))
+    top = upper(ranked, bucket)
+
+    def route(batches):
+        for b in batches:
+            fp, ids, rank = (b[c].to_numpy() for c in ("fp", "id", "rank"))
+            home = top.home(rank)
+            for q, node in top.routes(fp.view(np.uint64), home, limit) if len(fp) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node, node != home[q], rank[q], fp[q], ids[q])], names=["node", "visitor", "rank", "fp", "id"])
+
+    def search(batches):
+        now, own, ids, held = None, None, None, []
+        shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+        def told(label, names):
+            at = np.flatnonzero(label != np.arange(len(label)))
+            return pa.RecordBatch.from_arrays([pa.array(names[at]), pa.array(names[label[at]])], schema=shape)
+
+        def settle(visitors: bool):
+            """Links of the rows held: among themselves while they are the subtree's own, else to these."""
+            nonlocal own, ids, held
+            if not held:
+                return
+            fp, names = (np.concatenate(x) for x in zip(*held))
+            held = []
+            fp = fp.view(np.uint64)
+            if not visitors:
+                own, ids = GrayIndex(fp), names
+                n = np.arange(len(fp))
+                label = n.copy()
+                for i, j in own.search(fp, limit, n + 1, np.full(len(fp), len(fp))):
+                    label = _label(label, i, j)
+                yield told(_roots(label), names)
+            else:
+                label = np.arange(len(ids) + len(fp))
+                for i, j in own.search(fp, limit):
+                    label = _label(label, j, i + len(ids))
+                yield told(_roots(label), np.concatenate([ids, names]))
+
+        state = (None, False)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            node, visitor, fp, name = (b[c].to_numpy(zero_copy_only=False) for c in ("node", "visitor", "fp", "id"))
+            cuts = [0, *(np.flatnonzero((node[1:] != node[:-1]) | (visitor[1:] != visitor[:-1])) + 1).tolist(), len(node)]
+            for x, y in zip(cuts, cuts[1:]):
+                if (here := (node[x], visitor[x])) != state or sum(len(h[0]) for h in held) >= VISITORS and visitor[x]:
+                    yield from settle(state[1])
+                    state = here
+                held.append((fp[x:y], name[x:y]))
+        yield from settle(state[1])
 
-def links(fps: DataFrame, limit: int = DISTANCE, bucket: int = BUCKET) -> DataFrame:
-    """fps: (fp, id), fp distinct. (a, b): ids whose closure links all fingerprints with `limit` (at most 2) or fewer differing bits."""
-    if limit > 2:
-        raise ValueError("blocks are laid out for up to two differing bits")
-    blocks = _blocks(list(range(64)), 4)
-    ways = {c: sorted({*x, *y}) for c, (x, y) in enumerate(itertools.combinations(blocks, 2))}
-    rows = fps.withColumn("k", _keys(F.col("fp"), [(c, _mask(b)) for c, b in ways.items()])).select("k.way", "k.bits", "fp", "id", gray_rank(F.col("fp")).alias("rank"))
-    out = None
-    while True:
-        free = 64 - len(next(iter(ways.values())))
-        hot = written(rows.groupBy("way", "bits").count().filter(F.col("count") > bucket).drop("count"), "hot") if free > 14 else None
-        if hot is None or hot.isEmpty():
-            found = _bucket_links(rows, limit, bucket)
-            return found if out is None else out.unionAll(found)
-        found = _bucket_links(rows.join(hot, ["way", "bits"], "left_anti"), limit, bucket)
-        out = found if out is None else out.unionAll(found)
-        finer = {}
-        for c, have in ways.items():  # of three blocks of the free bits, at least one is without a difference
-            for x in _blocks([b for b in range(64) if b not in have], 3):
-                finer[len(finer)] = (c, sorted({*have, *x}))
-        choices = {c: [(n, _mask(b)) for n, (old, b) in finer.items() if old == c] for c in ways}
-        again = None
-        for c, ch in choices.items():
-            part = rows.join(hot, ["way", "bits"], "left_semi").filter(F.col("way") == c).withColumn("k", _keys(F.col("fp"), ch)).select("k.way", "k.bits", "fp", "id", "rank")
-            again = part if again is None else again.unionAll(part)
-        rows, ways = written(again, "finer"), {n: b for n, (_, b) in finer.items()}
+    rows = ranked.mapInArrow(route, "node long, visitor boolean, rank long, fp long, id long")
+    dealt = rows.repartition("node").sortWithinPartitions("node", "visitor", "rank")
+    return dealt.select("node", "visitor", "fp", "id").mapInArrow(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = DISTANCE) -> DataFrame:
     """(doc_id, fp, component_id) for each row of docs; component_id is the least doc_id that links reach, itself included.
 
-    Rows without a word (null, empty, blank) share fingerprint 0 and are linked like others. Rows of one doc_id stay
-    separate rows; a null doc_id never becomes a component's id unless all its rows have none. Empty docs: no rows."""
+    Rows without a word (null, empty, blank) share fingerprint 0 and are linked like others. A very long text is hashed in
+    parts. Rows of one doc_id stay separate rows; a null doc_id never becomes a component's id unless all its rows have none.
+    Only the two named columns are read, so others may have any name. Empty docs: no rows."""
     fps = written(fingerprints(docs, doc_id, text), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min("doc_id").alias("id"))
-    found = components(links(least.filter("id is not null"), limit))
-    labels = least.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "distinct")
+    found = components(links(least.filter("id is not null").select("fp", "id"), limit))
+    labels = least.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    return keyed_join(fps, labels, ["fp"], fps.count(), "doc_id").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = DISTANCE) -> DataFrame:
