@@ -56,10 +56,48 @@ def test_stage_keeps_columns_and_layout(spark, docs_of):
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {1: rows[0][1], 2: "keep\nthis\nand\n this", 4: "short", 5: None}
 
 
-def test_subtree_keeps_nodes_of_several_documents():
-    path = [np.array([1, 1, 1, 2]), np.array([1, 1, 2, 5])]
-    assert substrings.subtree([*path, np.array([1, 2, 3, 4])], np.array([1, 1, 2, 7]), np.array([4, 1, 2, 7])).tolist() == [0]
-    assert substrings.subtree([np.array([], np.int64)], np.array([], np.int64), np.array([], np.int64)).tolist() == []
+def test_subtree_keeps_what_a_lesser_document_has():
+    path = [np.array([1, 1, 1, 1, 2]), np.array([1, 1, 2, 2, 5])]
+    assert substrings.subtree([*path, np.array([1, 1, 3, 3, 4])], np.array([4, 1, 2, 2, 7])).tolist() == [0]
+    assert substrings.subtree([*path, np.array([1, 2, 3, 4, 4])], np.array([4, 1, 2, 3, 7])).tolist() == []
+    assert substrings.subtree([np.array([], np.int64)], np.array([], np.int64)).tolist() == []
+
+
+def test_subtree_against_brute_force():
+    r = np.random.default_rng(9)
+    for _ in range(200):
+        n = int(r.integers(1, 30))
+        path = [r.integers(0, 3, n) for _ in range(3)]
+        order = np.lexsort(path[::-1])
+        path, doc = [p[order] for p in path], r.integers(0, 5, n)
+        rows = list(zip(*(p.tolist() for p in path)))
+        want = [i for i in range(n) if any(rows[j] == rows[i] and doc[j] < doc[i] for j in range(n))]
+        assert substrings.subtree(path, doc).tolist() == want
+
+
+@pytest.mark.parametrize("size", [1, 4, 30, 1000])
+def test_overfull_groups_take_longer_prefixes(spark, docs_of, words, size):
+    """Passages that many documents share, of which some have only the first 8, 16 or 32 words in common."""
+    r = random.Random(size)
+    common = r.choices(words, k=70)
+    rows = [(0, " ".join(common))]
+    for d in range(1, 25):
+        n = r.choice([8, 12, 20, 40, 49, 50, 55, 70])
+        rows.append((d, " ".join(r.choices(words, k=5) + common[:n] + r.choices(words, k=45))))
+    got = {x["doc_id"]: (x["n_words"], x["n_removed"], x["kept_sha256"]) for x in substrings.removed(docs_of(rows), size=size).collect()}
+    assert got == brute(rows, 50)
+
+
+def test_stage_takes_any_column_names(spark, docs_of):
+    text = " ".join(map(str, range(60)))
+    docs = docs_of([(1, text), (2, "own " + text)])
+    from pyspark.sql import functions as F
+
+    for c in ("_left", "_id", "_key", "left", "key", "row", "_salt", "_hot", "n", "a.b", "pos"):
+        docs = docs.withColumn(c, F.lit(c))
+    out = substrings.cut_repeats(docs)
+    assert out.columns == docs.columns
+    assert {r["doc_id"]: (r["text"], r["left"], r["a.b"]) for r in out.collect()} == {1: (text, "left", "a.b"), 2: ("own", "left", "a.b")}
 
 
 def test_query_against_sql(spark):

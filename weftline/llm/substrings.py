@@ -1,11 +1,12 @@
 """Removal of word passages that an earlier document also has, by prefix-partitioned suffix trees.
 
 A suffix is taken to its first WINDOW words and written as a path: 64-bit codes of its first 8, 16 and 32 words and
-a 128-bit code of all 50. Suffixes with one path are first summed up (least and greatest document), then range
-partitioned by path: a range boundary is a prefix as long as it must be, so each task gets a group of about GROUP
-suffixes whatever prefix is common. A task builds the subtree of its group, whose internal nodes are the runs of
-suffixes with a common path; those WINDOW words deep with more than one document are the repeats, and overlapping ones
-make the maximal repeats that are removed.
+a 128-bit code of all 50. Suffixes are dealt to groups by their first 8 words. A group that turns out larger than memory
+allows is dealt again by longer prefixes, of 16, 32 and 50 words, so prefixes are as long as they must be. A task sorts a
+group's suffixes by path and builds their subtree: its internal nodes are the runs of suffixes with a common path, those
+of one document alone are left with all below them, and those WINDOW words deep are the repeats. Every suffix of such
+a node but those of its least document is covered; overlapping ones make the maximal repeats that are removed. A path of
+50 words that alone exceeds a group is one node, whose least document an aggregate finds.
 
 Only suffixes that can repeat enter the trees. Each window has an anchor, the least code of the 8-word grams in it, so
 equal windows have equal anchors; windows whose anchor only one document has are left out. Documents of the same words
@@ -23,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, mapped, table, text_bytes, written
+from weftline.llm.common import discard, keyed_join, mapped, table, text_bytes, written
 
 WINDOW, GRAM = 50, 8
-#: Suffixes that one task's subtree gets.
-GROUP = 400_000
+#: Suffixes of a group on average; one of over twice as many is dealt again. A suffix takes 64 bytes.
+GROUP = 1 << 16
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _S = np.uint64(31)
@@ -110,49 +111,90 @@ def _suffixes(window: int, gram: int, depths: tuple[int, ...]):
     return work
 
 
-def subtree(path: list[np.ndarray], low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Positions of the deepest nodes that more than one document has. The suffixes are in path order; path[k] holds their
-    codes at depth k. From the root down, a node is a run of suffixes with a common path, and its children are the runs
-    into which the next depth splits it; a node within one document is left with all below it."""
-    alive = np.arange(len(low))
+def subtree(path: list[np.ndarray], doc: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes under a node of full depth that a lesser document has too. The suffixes are in path order;
+    path[k] holds their codes at depth k. From the root down, a node is a run of suffixes with a common path, and its children
+    are the runs into which the next depth splits it; a node within one document is left with all below it."""
+    alive = np.arange(len(doc))
+    edge = np.zeros(len(doc), bool)  # where a node begins among those alive
+    edge[:1] = True
     for code in path:
         if not len(alive):
-            break
+            return alive
         part = code[alive]
-        start = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (np.diff(alive) > 1)]))
-        many = np.maximum.reduceat(high[alive], start) > np.minimum.reduceat(low[alive], start)
-        alive = alive[np.repeat(many, np.diff(np.append(start, len(alive))))]
-    return alive[high[alive] > low[alive]]
-
-
-def _deep_nodes(batches, depths: tuple[int, ...]):
-    """Builds the subtree of the task's group and returns its nodes of full depth that more than one document has."""
-    names = [*(f"p{n}" for n in depths), "a", "b", "low", "high"]
-    held = [[b[n].to_numpy() for n in names] for b in batches if b.num_rows]
-    if held:
+        edge[1:] |= part[1:] != part[:-1]
+        start = np.flatnonzero(edge)
+        size = np.diff(np.append(start, len(alive)))
+        own = doc[alive]
+        many = np.repeat(np.maximum.reduceat(own, start) > np.minimum.reduceat(own, start), size)
+        alive, edge = alive[many], edge[many]
+    start = np.flatnonzero(edge)
+    low = np.repeat(np.minimum.reduceat(doc[alive], start), np.diff(np.append(start, len(alive)))) if len(alive) else alive
+    return alive[doc[alive] > low]
+
+
+def _covered(batches, path: list[str]):
+    """Rows come by group and path. Builds one group's subtree after the other; returns (doc_id, key, pos) of covered suffixes."""
+    names, held, now = [*path, "doc_id", "key", "pos"], [], None
+
+    def told():
         cols = [np.concatenate(x) for x in zip(*held)]
-        at = subtree(cols[:-2], *cols[-2:])
-        yield pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols[-4:-1]], names=["a", "b", "first_doc"])
-
-
-def repeats(docs: DataFrame, outline: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+        at = subtree(cols[:-3], cols[-3])
+        return pa.RecordBatch.from_arrays([pa.array(c[at]) for c in cols[-3:]], names=names[-3:])
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b[n].to_numpy() for n in names]
+        group = b["group"].to_numpy()
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        for x, y in zip(cuts, cuts[1:]):
+            if group[x] != now and held:
+                yield told()
+                held = []
+            now = group[x]
+            held.append([c[x:y] for c in cols])
+    if held:
+        yield told()
+
+
+def _dealt(suffixes: DataFrame, prefixes: list[list[str]], size: int) -> tuple[DataFrame, DataFrame | None]:
+    """The suffixes with a group each, by the shortest prefix whose group holds at most twice `size`; and those whose whole
+    path fills more than that, if any."""
+    out, left, first = None, suffixes, 0
+    for cols in prefixes:
+        groups = max(1, -(-left.count() // size))
+        named = left.withColumn("group", F.pmod(F.xxhash64(*cols), F.lit(groups)) + F.lit(first))
+        over = written(named.groupBy("group").count().filter(F.col("count") > 2 * size).select("group"), "overfull")
+        full = over.count()
+        fits = named.join(over, "group", "left_anti") if full else named
+        out = fits if out is None else out.unionByName(fits)
+        if not full:
+            return out, None
+        first += groups
+        left = written(named.join(over, "group", "left_semi").drop("group"), "overfull")
+    return out, left
+
+
+def repeats(docs: DataFrame, outline: DataFrame, window: int = WINDOW, gram: int = GRAM, size: int = GROUP) -> DataFrame:
     """(doc_id, key, starts): for each document, the starts of windows that a document of lesser id has too. docs: doc_id, key, text (bytes)."""
     depths = tuple(n for n in (8, 16, 32) if n < window)
     owned = outline.filter("first").select("doc_id", "key", F.explode("anchors").alias("anchor"))
-    shared = owned.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).filter("low < high").select("anchor")
-    known = owned.join(shared, "anchor").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
+    shared = written(owned.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).filter("low < high").select("anchor", "n"), "anchors")
+    total = outline.filter("first").agg(F.sum(F.size("anchors"))).first()[0] or 0
+    known = keyed_join(owned, shared, ["anchor"], total, "doc_id").groupBy("doc_id", "key").agg(F.collect_set("anchor").alias("anchors"))
     schema = "".join(f"p{n} long, " for n in depths) + "a long, b long, doc_id long, key long, pos int"
     suffixes = written(mapped(docs.join(known, ["doc_id", "key"]).select("doc_id", "key", "text", "anchors"), _suffixes(window, gram, depths), schema, 64), "suffixes")
     path = [*(f"p{n}" for n in depths), "a", "b"]
-    summed = written(suffixes.groupBy(*path).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "paths")
-    groups = max(1, -(-summed.count() // GROUP))
-    sorted_paths = summed.repartitionByRange(groups, *path).sortWithinPartitions(*path)
-    nodes = written(sorted_paths.mapInArrow(lambda batches: _deep_nodes(batches, depths), "a long, b long, first_doc long"), "nodes")
-    discard(summed)
-    found = suffixes.join(nodes, ["a", "b"]).filter("doc_id > first_doc").groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts"))
-    out = written(found, "repeats")
+    dealt, alone = _dealt(suffixes, [*([f"p{n}"] for n in depths), ["a", "b"]], size)
+    rows = dealt.repartition("group").sortWithinPartitions("group", *path)
+    found = rows.mapInArrow(lambda batches: _covered(batches, path), "doc_id long, key long, pos int")
+    if alone is not None:
+        least = written(alone.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "nodes")
+        found = found.unionByName(keyed_join(alone, least, ["a", "b"], alone.count(), "doc_id").filter("doc_id > low").select("doc_id", "key", "pos"))
+    out = written(found.groupBy("doc_id", "key").agg(F.collect_set("pos").alias("starts")), "repeats")
     discard(suffixes)
-    discard(nodes)
+    discard(shared)
     return out
 
 
@@ -192,19 +234,22 @@ def _cut(window: int):
     return work
 
 
-def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM, size: int = GROUP) -> DataFrame:
     """(doc_id, key, n_words, n_removed, kept_sha256, text): key is xxhash64 of the text, and text is what is left of a
     text that lost words, else null.
 
-    A null text has no words. Texts under `window` words keep all. Rows that share a doc_id are judged each against
-    lesser doc_ids only; rows without a doc_id are neither judged nor a source. Empty docs: no rows."""
+    A null or empty text has no words. Texts under `window` words keep all, very long ones are read whole. Rows that share a
+    doc_id, repeated ones too, are judged each against lesser doc_ids only, so a passage within one doc_id stays; rows
+    without a doc_id are neither judged nor a source. Only the two named columns are read, so others may have any name.
+    Empty docs: no rows."""
     gram = min(gram, window)
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), text_bytes(text))
     raw = written(mapped(plain, _outline(window, gram), "doc_id long, key long, n_words long, c1 long, c2 long, sha string, anchors array<long>"), "outline")
-    least = raw.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"))
-    outline = written(raw.join(least, ["c1", "c2"]).withColumn("first", F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("least"))).drop("least", "c1", "c2"), "outline")
+    least = written(raw.groupBy("c1", "c2").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "least")
+    outline = written(keyed_join(raw, least, ["c1", "c2"], raw.count(), "doc_id").withColumn("first", F.col("doc_id").isNotNull() & (F.col("doc_id") == F.col("least"))).drop("least", "c1", "c2"), "outline")
     discard(raw)
-    starts = repeats(plain, outline, window, gram)
+    discard(least)
+    starts = repeats(plain, outline, window, gram, size)
     changed = mapped(plain.join(starts, ["doc_id", "key"]), _cut(window), "doc_id long, key long, gone long, left_sha string, left_text string", 64)
     changed = changed.dropDuplicates(["doc_id", "key"])
     copy = ~F.col("first") & F.col("doc_id").isNotNull() & (F.col("n_words") >= window)
@@ -219,12 +264,13 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
 
 
 def cut_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """docs without repeated passages: texts lose them, and rows of which nothing is left go. Other columns stay."""
-    found = removed(docs, doc_id, text, window).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("text").alias("_left")).dropDuplicates(["_id", "_key"])
-    key = F.xxhash64(F.coalesce(docs[text], F.lit("")))
-    both = docs.join(found, (docs[doc_id] == found["_id"]) & (key == found["_key"]), "left")
-    kept = both.filter(F.col("_left").isNull() | (F.col("_left") != ""))
-    return kept.select(*(F.coalesce("_left", docs[c]).alias(c) if c == text else docs[c] for c in docs.columns))
+    """docs without repeated passages: texts lose them, and rows of which nothing is left go. Other columns stay, whatever
+    their names. Rows without a doc_id or a text, and those under `window` words, stay as they are."""
+    found = removed(docs, doc_id, text, window).filter("n_removed > 0").select("doc_id", "key", F.col("text").alias("left")).dropDuplicates(["doc_id", "key"])
+    named = [f"`{c.replace('`', '``')}`" for c in docs.columns]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("key"), F.struct(*named).alias("row"))
+    kept = rows.join(found, ["doc_id", "key"], "left").filter(F.col("left").isNull() | (F.col("left") != ""))
+    return kept.select(*(F.coalesce("left", f"row.{n}").alias(c) if c == text else F.col(f"row.{n}").alias(c) for c, n in zip(docs.columns, named)))
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
