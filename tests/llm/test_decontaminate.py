@@ -19,11 +19,12 @@ def nearest(item, text):
 @pytest.mark.parametrize("alphabet", ["ab ", "abcdefgh "])
 def test_finds_exactly_what_is_within_the_budget(alphabet):
     r = random.Random(len(alphabet))
-    for _ in range(150):
-        item = d.normal("".join(r.choices(alphabet, k=r.randint(8, 80))))
-        if len(item) < d.Q:
+    for _ in range(300):
+        item = d.normal("".join(r.choices(alphabet, k=r.randint(1, 80))))
+        if not item:
             continue
-        e, _ = d.budget(len(item))
+        e = d.budget(len(item))[0]
+        assert e == int(len(item) * d.RATE)
         part = list(item)
         for _ in range(r.randint(0, e + 2)):
             k = r.randrange(len(part))
@@ -51,6 +52,36 @@ def test_long_texts_are_read_in_parts():
         d.PART = old
 
 
+def test_parts_of_the_hits_give_the_same(monkeypatch):
+    r = random.Random(3)
+    items = d.Items([(k, "".join(r.choices("ab", k=r.randint(5, 60)))) for k in range(20)])
+    texts = ["".join(r.choices("ab", k=300)) for _ in range(20)]
+    want = [items.find(t) for t in texts]
+    assert any(want)
+    monkeypatch.setattr(d, "HITS", 7)
+    assert [items.find(t) for t in texts] == want
+    assert [items.any(t) for t in texts] == [bool(w) for w in want]
+
+
+def test_runs_of_one_character_stay_in_memory():
+    """Long runs of one character against items with a run of it, under 2 GB."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, random
+from weftline.llm import decontaminate as d
+r = random.Random(1)
+plain = lambda: "".join(r.choices("bcdefgh", k=60))
+items = d.Items([(k, plain() + "a" * 400 + plain()) for k in range(5)])
+assert items.find("a" * 200_000) == []
+found = d.Items([(7, "a" * 400)]).find("x " + "a" * 1_000_000)
+assert [f[0] for f in found] == [7] and found[0][3] == 0
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 2_000_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
 def test_rows(spark, docs_of):
     items = [(1, "The  Benchmark passage, with\nsome more words in it"), (2, None), (3, ""), (4, "tiny"), (4, "tiny")]
     bench = spark.createDataFrame(items, "item_id long, text string")
