@@ -2,9 +2,10 @@
 
 A page is read into its leaf blocks, each with the path of open elements (tag, class and id words) and its text. A block's
 vector hashes the path and the words and adds length, link share, punctuation and place. One LSTM reads the blocks forwards
-and one backwards, so every label depends on the whole page. The model learns from a bounded sample of pages whose
-blocks are labelled by plain structure (inside an article element and in no furniture), and from the same texts set
-into made-up page layouts, so that it knows more layouts than the sample has."""
+and one backwards, so every label depends on the whole page. The model learns from a bounded sample of pages: those that mark
+their main text (an article or main element, or one named so) give blocks labelled by that, and the texts of all of them
+are set into made-up layouts, whose main text is known whatever its elements are called: in a good part of them neither
+main text nor furniture has a telling name, so that length, links, punctuation, place and neighbours have to tell."""
 
 from __future__ import annotations
 
@@ -32,8 +33,13 @@ CLOSES = {"p": ({"p"}, {"div", "article", "section", "td", "li", "body", "blockq
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 
 PATH, WORDS, EXTRA, HIDDEN = 128, 32, 4, 24
-#: Bounds of learning: pages (those of least xxhash64(page_id)), made-up layouts a page, blocks of a training sequence, rounds.
+#: Bounds of learning: pages (those of least xxhash64(page_id)), made-up layouts a page, rounds. A longer page is learned in
+#: sequences of BLOCKS blocks.
 PAGES, LAYOUTS, BLOCKS, ROUNDS = 200, 5, 96, 10
+#: Blocks, with padding, that the network reads at once; a longer page is read alone.
+AT_ONCE = 1 << 13
+#: Marks main text in made-up layouts (a private character).
+_MAIN = "\ue000"
 
 
 def blocks(page: str | None) -> list[tuple[tuple[str, ...], str, float]]:
@@ -267,18 +273,22 @@ def structural(path: tuple[str, ...]) -> int:
 
 
 def layout(r: random.Random, texts: list[str]) -> str:
-    """A made-up page around the texts."""
+    """A made-up page around the texts, whose main text starts with _MAIN in each block."""
     say = lambda: " ".join(r.choice(texts).split()[: r.randint(2, 40)])
     short = lambda: " ".join(r.choice(texts).split()[: r.randint(1, 4)])
     wrap = lambda tag, name, inner: f'<{tag} {r.choice(("class", "id"))}="{name}">{inner}</{tag}>'
     par = lambda: "".join(f"<p>{say()}</p>" for _ in range(r.randint(1, 4)))
     links = lambda: "<ul>" + "".join(f'<li><a href="/x">{short()}</a></li>' for _ in range(r.randint(2, 7))) + "</ul>"
+    told = r.random() < 0.6  # whether names tell main text from furniture
+    plain = lambda inner: f"<div>{inner}</div>" if r.random() < 0.6 else wrap("div", r.choice(("a", "b1", "col", "inner", "row", "text", "wrap", "x")), inner)
 
     def extra() -> str:
         name = r.choice(FURNITURE)
         if r.random() < 0.4:
             name += r.choice(("-box", "-block", " wide", "_item", "-list"))
         kind = r.random()
+        if not told and kind < 0.7:  # short and linked, in elements without a telling name
+            return plain("".join(plain(f"<a href=/x>{short()}</a>") for _ in range(r.randint(1, 5))) if r.random() < 0.5 else r.choice((links, short))())
         if kind < 0.2:
             return f"<nav>{links()}</nav>"
         if kind < 0.3:
@@ -287,13 +297,17 @@ def layout(r: random.Random, texts: list[str]) -> str:
             return f"<form><label>{short()}</label><input name=q><button>{short()}</button></form>"
         return wrap(r.choice(("div", "section", "div", "ul")), name, r.choice((par, links, say))())
 
-    body = ["<h1>" + short() + "</h1>"] if r.random() < 0.9 else []
+    body = [f"<h1>{_MAIN}{short()}</h1>"] if r.random() < 0.9 else []
     for _ in range(r.randint(1, 10)):
         kind = r.random()
-        body.append(f"<p>{say()}</p>" if kind < 0.5 else f"<p><b>{say()}<br>" if kind < 0.65 else f"<h2>{short()}</h2>" if kind < 0.72 else f"<blockquote>{say()}</blockquote>" if kind < 0.78 else f"<ul><li>{say()}</li><li>{say()}</li></ul>" if kind < 0.85 else extra() if kind < 0.95 else say())
+        one = lambda: _MAIN + say()
+        body.append(
+            (f"<p>{one()}</p>" if told or r.random() < 0.5 else f"<div>{one()}</div>") if kind < 0.5 else f"<p><b>{one()}<br>" if kind < 0.65 else f"<h2>{_MAIN}{short()}</h2>" if kind < 0.72
+            else f"<blockquote>{one()}</blockquote>" if kind < 0.78 else f"<ul><li>{one()}</li><li>{one()}</li></ul>" if kind < 0.85 else extra() if kind < 0.95 else f"<div>{one()}</div>"
+        )
     inner = "".join(body)
     kind = r.random()
-    main = f"<article>{inner}</article>" if kind < 0.5 else f"<main>{inner}</main>" if kind < 0.65 else f"<main><article>{inner}</article></main>" if kind < 0.75 else wrap(r.choice(("div", "section")), r.choice(MAIN), inner)
+    main = plain(inner) if not told else f"<article>{inner}</article>" if kind < 0.5 else f"<main>{inner}</main>" if kind < 0.65 else f"<main><article>{inner}</article></main>" if kind < 0.75 else wrap(r.choice(("div", "section")), r.choice(MAIN), inner)
     before = "".join(extra() for _ in range(r.randint(0, 3)))
     head = f"<header>{r.choice((short, links))()}</header>" if r.random() < 0.5 else ""
     after = "".join(extra() for _ in range(r.randint(0, 3))) + (wrap("section", r.choice(("comments", "comment-list")), "".join(f"<div class=comment><p>{say()}</p></div>" for _ in range(r.randint(1, 4)))) if r.random() < 0.5 else "")
@@ -301,25 +315,31 @@ def layout(r: random.Random, texts: list[str]) -> str:
     return f"<html><head><title>{short()}</title></head><body>{head}{before}{main}{after}{foot}</body></html>"
 
 
+def labelled(found: list[tuple[tuple[str, ...], str, float]]) -> tuple[list[tuple[tuple[str, ...], str, float]], list[int]]:
+    """The blocks of a made-up layout without their marks, and 1 for each marked one."""
+    return [(p, t.replace(_MAIN, ""), link) for p, t, link in found], [int(_MAIN in t) for _, t, _ in found]
+
+
 def trained(pages: list[str], seed: int = 7) -> Labeller:
-    """The model learned from sample pages; without any, from layouts of plain words."""
+    """The model learned from sample pages; without any, from layouts of plain words. All blocks of a page are learned from."""
     r = random.Random(seed)
     data = []
 
-    def add(page: str) -> list[tuple]:
-        found = blocks(page)
-        # long pages give their start and end
-        part = found if len(found) <= BLOCKS else found[: BLOCKS // 2] + found[-BLOCKS // 2 :]
-        if part:
-            data.append((vectors(part), np.array([structural(p) for p, _, _ in part], np.float32)))
-        return found
+    def add(found: list[tuple], labels: list[int]) -> None:
+        if found:
+            x, y = vectors(found), np.array(labels, np.float32)
+            data.extend((x[k : k + BLOCKS], y[k : k + BLOCKS]) for k in range(0, len(found), BLOCKS))
 
     for page in pages:
-        texts = [t for _, t, _ in add(page)] or ["word"]
+        found = blocks(page)
+        labels = [structural(p) for p, _, _ in found]
+        if any(labels):  # a page without a marked main text tells nothing
+            add(found, labels)
+        texts = [t.replace(_MAIN, "") for _, t, _ in found] or ["word"]
         for _ in range(LAYOUTS):
-            add(layout(r, texts))
+            add(*labelled(blocks(layout(r, texts))))
     for _ in range(max(0, 200 - len(pages))):
-        add(layout(r, ["some plain words of a text that goes on, for a while", "more of it here."]))
+        add(*labelled(blocks(layout(r, ["some plain words of a text that goes on, for a while", "more of it here."]))))
     model = Labeller(seed)
     model.fit(data)
     return model
@@ -338,19 +358,28 @@ def learn(pages: DataFrame, page_id: str = "page_id", html: str = "html", sample
 
 
 def main_texts(model: Labeller, pages: list[str | None], batch: int = 32) -> list[str]:
+    """Main text of each page: its blocks that score 0.5 or more, in page order, joined by an empty line. Pages are read by the
+    network in lots of like length and at most AT_ONCE blocks, so memory follows the longest page alone."""
     found = [blocks(p) for p in pages]
     order = sorted((k for k in range(len(pages)) if found[k]), key=lambda k: len(found[k]))
     out = [""] * len(pages)
-    for at in range(0, len(order), batch):
-        part = order[at : at + batch]
-        score = model.forward(*padded([vectors(found[k]) for k in part]))
-        for c, k in enumerate(part):
-            out[k] = "\n".join(t for (_, t, _), s in zip(found[k], score[:, c]) if s >= 0.5)
+    lots: list[list[int]] = []
+    for k in order:
+        if lots and len(lots[-1]) < batch and (len(lots[-1]) + 1) * len(found[k]) <= AT_ONCE:
+            lots[-1].append(k)
+        else:
+            lots.append([k])
+    for lot in lots:
+        score = model.forward(*padded([vectors(found[k]) for k in lot]))
+        for c, k in enumerate(lot):
+            out[k] = "\n\n".join(t for (_, t, _), s in zip(found[k], score[:, c]) if s >= 0.5)
     return out
 
 
 def extracted(pages: DataFrame, model: Labeller, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) of each row of pages. A null or empty page has the empty text."""
+    """(page_id, url, text, n_chars) of each row of pages. A null or empty page, or one without a block, has the empty text; a
+    very long one is read whole. A block that scores just 0.5 stays. Repeated rows and null page_ids are read like others.
+    Only the three named columns are read, so others may have any name. Empty pages: no rows."""
 
     def work():
         def step(rows):
