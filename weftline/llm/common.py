@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Documents handed to a mapping function at once.
 SLICE = 256
-#: ASCII white space of the word contracts: [\x20\x09-\x0D]. bytes.split() splits on just these.
+#: Frees a job's shuffle files once the job is done.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -23,9 +23,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (local tests) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a session of one machine (tests) gets
+    a temporary one; a cluster's is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return f"{found.rstrip('/')}/weftline-{spark.sparkContext.applicationId}"

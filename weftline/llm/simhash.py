@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import keyed_join, mapped, table, text_bytes, written
-from weftline.llm.components import components
+from weftline.llm.components import components, labels, roots
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 #: Subtrees, at least, and the fingerprints that one takes before there are more subtrees.
@@ -132,29 +132,12 @@ class GrayIndex:
             todo.append((k - 1, q[there], child[there], gone[there]))
 
 
-def _label(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Labels after the links i - j: least labels along them, with jumps, until they agree."""
-    while True:
-        low = np.minimum(label[i], label[j])
-        np.minimum.at(label, label[i], low)
-        np.minimum.at(label, label[j], low)
-        label = label[label]
-        if (label[i] == label[j]).all():
-            return label
-
-
-def _roots(label: np.ndarray) -> np.ndarray:
-    while (label != label[label]).any():
-        label = label[label]
-    return label
-
-
 def spanning(fps: np.ndarray, limit: int = DISTANCE) -> list[tuple[int, int]]:
     """Positions (i, root) that join what is linked among fps, which are distinct and in Gray order."""
     label, n = np.arange(len(fps)), np.arange(len(fps))
     for i, j in GrayIndex(fps).search(fps, limit, n + 1, np.full(len(fps), len(fps))) if len(fps) > 1 else ():
-        label = _label(label, i, j)
-    label = _roots(label)
+        label = labels(label, i, j)
+    label = roots(label)
     return [(int(i), int(label[i])) for i in np.flatnonzero(label != np.arange(len(fps)))]
 
 
@@ -232,13 +215,13 @@ def links(fps: DataFrame, limit: int = DISTANCE, bucket: int = BUCKET) -> DataFr
                 n = np.arange(len(fp))
                 label = n.copy()
                 for i, j in own.search(fp, limit, n + 1, np.full(len(fp), len(fp))):
-                    label = _label(label, i, j)
-                yield told(_roots(label), names)
+                    label = labels(label, i, j)
+                yield told(roots(label), names)
             else:
                 label = np.arange(len(ids) + len(fp))
                 for i, j in own.search(fp, limit):
-                    label = _label(label, j, i + len(ids))
-                yield told(_roots(label), np.concatenate([ids, names]))
+                    label = labels(label, j, i + len(ids))
+                yield told(roots(label), np.concatenate([ids, names]))
 
         state = (None, False)
         for b in batches:
@@ -267,8 +250,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fps = written(fingerprints(docs, doc_id, text), "fingerprints")
     least = written(fps.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "distinct")
     found = components(links(least.filter("id is not null").select("fp", "id"), limit))
-    labels = least.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
-    return keyed_join(fps, labels, ["fp"], fps.count(), "doc_id").select("doc_id", "fp", "component_id")
+    named = least.join(found.withColumnRenamed("node", "id"), "id", "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n")
+    return keyed_join(fps, named, ["fp"], fps.count(), "doc_id").select("doc_id", "fp", "component_id")
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: int = DISTANCE) -> DataFrame:
