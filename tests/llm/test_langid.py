@@ -1,3 +1,6 @@
+import pytest
+import re
+import random
 from collections import Counter
 
 import numpy as np
@@ -45,3 +48,40 @@ def test_nulls_and_empty_tables(spark, docs_of):
     assert some.langs == ["en"]
     assert [r["doc_id"] for r in langid.kept(docs, some, 0.1).collect()] == [4, 4]
     assert langid.predicted(docs_of([]), some, ["doc_id"]).count() == 0
+
+
+def plain_nearest(text, lists):
+    """Out-of-place distances from strings and dictionaries. Ties of counts stand in order of the n-grams' codes, as in a profile."""
+    word = re.sub(r"[\W\d_]+", "_", (text or "").lower()).strip("_")
+    counts = Counter()
+    for w in word.split("_") if word else []:
+        w = f"_{w}_"
+        counts.update(g for n in range(1, 6) for g in (w[k : k + n] for k in range(len(w) - n + 1)) if g.strip("_"))
+    own = sorted(counts, key=lambda g: (-counts[g], code_of(g)))[: langid.PROFILE]
+    if not own:
+        return "und", 0.0
+    far = {name: sum(abs(place[code_of(g)] - k) if code_of(g) in place else langid.PROFILE for k, g in enumerate(own)) for name, place in lists.items()}
+    best = min(sorted(far), key=far.get)
+    return best, 1 - far[best] / (langid.PROFILE * len(own))
+
+
+def code_of(gram):
+    """Code of one n-gram; an n-gram of one letter has that letter alone."""
+    c = np.array([ord(x) for x in gram], np.uint32)
+    found = langid._codes(c)[len(gram) - 1]
+    assert len(found) == 1
+    return int(found[0])
+
+
+def test_nearest_against_a_plain_distance(spark, words):
+    r = random.Random(8)
+    other = ["".join(r.choices("xyzqvw", k=r.randint(1, 6))) for _ in range(60)]
+    rows = [(k, " ".join(r.choices(words if k % 2 else other, k=80)), "ab"[k % 2]) for k in range(40)]
+    profiles = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    lists = {name: {int(profiles.codes[k]): int(profiles.place[k, c]) for k in range(len(profiles.codes)) if profiles.place[k, c] >= 0} for c, name in enumerate(profiles.langs)}
+    assert {len(v) for v in lists.values()} == {langid.PROFILE}
+    texts = [" ".join(r.choices(words + other, k=r.randint(1, 60))) for _ in range(60)] + ["", None, "12 !", "é", "A'b c-D", "word " * 400]
+    for t in texts:
+        lang, score, _ = profiles.nearest(t)
+        want = plain_nearest(t, lists)
+        assert score == pytest.approx(want[1]) and lang == want[0]

@@ -89,12 +89,14 @@ def score(model: np.ndarray, text: str | None) -> float:
 
 
 def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights learned from the labelled documents. Rows without text or label, or labelled otherwise than 0 or 1, teach nothing.
-    Learning is sequential, so one task does it, over a sample whose size does not grow. No labelled row: all scores are 0.5."""
+    """Weights learned from the labelled documents. Rows without text or label, or labelled otherwise than 0 or 1, teach nothing;
+    empty texts teach the bias. Learning is sequential, so one task does it, over at most `sample` pairs of a document and a
+    label: those of least xxhash64(doc_id), on ties of least hash of the text, then of least label. Repeated rows and labels
+    count each. No labelled row, or no document: all scores are 0.5."""
     known = labels.filter(F.col(label).isin(0, 1)).select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).filter("text is not null").join(F.broadcast(chosen), "doc_id")
-    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "label").limit(2 * sample).coalesce(1)
+    rows = rows.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "label").limit(sample).coalesce(1)
 
     def run(batches):
         import random
@@ -114,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def scored(docs: DataFrame, model: np.ndarray, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, score) of each row of docs over its whole text; null and empty texts get the bias's score."""
+    """(doc_id, score) of each row of docs over its whole text, however long; null and empty texts get the bias's score. Repeated
+    rows are scored alike. Only the two named columns are read, so others may have any name. Empty docs: no rows."""
 
     def work():
         return lambda rows: {"doc_id": rows["doc_id"], "score": [score(model, t) for t in rows["text"]]}
