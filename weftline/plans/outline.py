@@ -1,12 +1,15 @@
 """Folded view of source files: signatures and short parts stay, long bodies and gaps become one line.
 
-Each file is folded by itself, so any number of files is one mapping step."""
+Every line of a file gets one state in a table, painted from the symbols' line intervals, the innermost and the earlier of
+equals on top. What is written, and the numbers of kept and elided lines, are then read off runs of equal states. Each file
+is folded by itself, so any number of files is one mapping step."""
 
 from __future__ import annotations
 
 import bisect
 import re
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: Lines a body, and lines with text a gap, may have and stay; top-level symbols shown.
 BODY, GAP, TOP = 2, 8, 800
+#: States of a line: outside all shown symbols, shown as it is, left out without a note. From FOLDED on: the head of symbol state - FOLDED.
+LOOSE, SHOWN, LEFT_OUT, FOLDED = range(4)
+#: What the view says in place of lines and symbols, fixed by its format.
+ELIDED, BODY_OF, MORE = "// … {} lines elided", "{{ … {} lines }}", "// … {} more symbol{} elided (max_symbols={})"
 
 
 @dataclass
@@ -28,6 +35,7 @@ class _Part:
     head: int = 0
     head_end: int = 0
     doc: int = 0
+    number: int = 0
     parts: list[_Part] = field(default_factory=list)
     shown: bool = True
 
@@ -76,86 +84,78 @@ def _nested(parts: list[_Part]) -> list[_Part]:
     return top
 
 
-def _mark(p: _Part, private: bool) -> bool:
-    inner = [_mark(q, private) for q in p.parts]
-    p.shown = private or p.visibility == "Public" or any(inner)
-    return p.shown
+def _visible(parts: list[_Part], private: bool) -> None:
+    """Parts that are shown: all with `private`, else public ones and those around them."""
+    for p in parts:
+        _visible(p.parts, private)
+        p.shown = private or p.visibility == "Public" or any(q.shown for q in p.parts)
+
+
+def _states(lines: int, parts: list[_Part]) -> list[int]:
+    """The state of each line. Parts are painted from the last to the first, so the earlier of two that share a line has it."""
+    table = [LOOSE] * lines
 
+    def fill(a: int, b: int, state: int) -> None:
+        if a < b:
+            table[a:b] = [state] * (b - a)
+
+    def paint(p: _Part) -> None:
+        end = p.last + 1
+        if not p.shown:
+            fill(p.doc, end, LEFT_OUT)
+            return
+        inner = [q for q in p.parts if q.shown]
+        fill(p.doc, end, LOOSE if inner else SHOWN)
+        if inner:
+            table[p.last] = SHOWN  # an inner part that ends there has the line
+            for q in reversed(p.parts):
+                paint(q)
+            fill(p.doc, min(p.head + 1, end), SHOWN)
+        elif p.body > BODY:
+            fill(p.head + 1, end, LEFT_OUT)
+            table[p.head] = FOLDED + p.number
 
-def _hide(p: _Part) -> None:
-    p.shown = False
-    for q in p.parts:
-        _hide(q)
+    for p in reversed(parts):
+        paint(p)
+    return table
 
 
 def fold(content: bytes, symbols: list[tuple], lang: str | None = None, private: bool = True, top: int = TOP) -> dict:
     """skeleton, symbols (name, kind, line_start, line_end, body_lines, has_body), kept and elided lines, which add up to
-    the file's. symbols: (name, kind, byte_start, byte_end, visibility); top 0: no limit."""
+    the file's. symbols: (name, kind, byte_start, byte_end, visibility); top 0: no limit on shown top-level symbols."""
     src = _Source(content, lang)
     parts = [_Part(*s) for s in sorted(symbols, key=lambda s: (s[2], s[3]))]
-    for p in parts:
+    for n, p in enumerate(parts):
         src.measure(p)
+        p.number = n
     tree = _nested(parts)
-    over = 0
-    for n, p in enumerate([p for p in tree if _mark(p, private)]):
-        if top and n >= top:
-            _hide(p)
-            over += 1
+    _visible(tree, private)
+    beyond = [p for p in tree if p.shown][top:] if top else []
+    todo = list(beyond)
+    while todo:
+        p = todo.pop()
+        p.shown = False
+        todo += p.parts
     out: list[str] = []
-    kept = gone = 0
-
-    def keep(a: int, b: int) -> None:
-        nonlocal kept
-        out.extend(map(src.text, range(a, b)))
-        kept += max(0, b - a)
-
-    def drop(a: int, b: int, note: str | None = None) -> None:
-        nonlocal gone
-        if b > a:
-            gone += b - a
-            if note:
-                out.append(note.format(b - a))
-
-    def between(a: int, b: int) -> None:
-        if sum(bool(x.strip()) for x in src.lines[a:b]) <= GAP:
-            keep(a, b)
-        else:
-            drop(a, b, "// … {} lines elided")
-
-    def show(p: _Part, at: int) -> int:
-        """Writes p from line `at` on; the line after it."""
-        if p.last < at:
-            return at
-        doc = max(p.doc, at)
-        between(at, doc)
-        end = p.last + 1
-        if not p.shown:
-            drop(doc, end)
-        elif any(q.shown for q in p.parts):
-            inner = min(p.head + 1, end)
-            keep(doc, inner)
-            for q in p.parts:
-                inner = show(q, inner)
-            between(inner, p.last)
-            keep(max(inner, p.last), end)
-        elif p.body > BODY:
-            keep(doc, p.head)
-            out.append(content[src.starts[p.head] : p.head_end].decode("utf-8", "replace") + f"{{ … {p.body} lines }}")
-            nonlocal kept
-            kept += 1
-            drop(p.head + 1, end)
+    kept = at = 0
+    for state, run in groupby(_states(len(src.lines), tree)):
+        first, at = at, at + len(list(run))
+        lines = src.lines[first:at]
+        if state >= FOLDED:
+            p = parts[state - FOLDED]
+            out.append(content[src.starts[p.head] : p.head_end].decode("utf-8", "replace") + BODY_OF.format(p.body))
+        elif state == LOOSE and sum(map(bool, map(bytes.strip, lines))) > GAP:
+            out.append(ELIDED.format(len(lines)))
+            continue
+        elif state == LEFT_OUT:
+            continue
         else:
-            keep(doc, end)
-        return end
-
-    at = 0
-    for p in tree:
-        at = show(p, at)
-    between(at, len(src.lines))
-    if over:
-        out.append(f"// … {over} more symbol{'s' * (over != 1)} elided (max_symbols={top})")
+            out += map(src.text, range(first, at))
+        kept += len(lines)
+    if beyond:
+        out.append(MORE.format(len(beyond), "s" * (len(beyond) != 1), top))
     index = [(p.name, p.kind, p.first + 1, p.last + 1, p.body, p.body > 0) for p in parts if p.shown]
-    return {"skeleton": "\n".join(out), "symbols": index, "kept_lines": kept, "elided_lines": gone}
+    return {"skeleton": "\n".join(out), "symbols": index, "kept_lines": kept, "elided_lines": len(src.lines) - kept}
 
 
 OUTLINE = "path string, skeleton string, symbols array<struct<name:string,kind:string,line_start:int,line_end:int,body_lines:int,has_body:boolean>>, kept_lines int, elided_lines int"
