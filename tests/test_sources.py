@@ -1,3 +1,4 @@
+import os
 import subprocess
 
 import pytest
@@ -125,6 +126,50 @@ def test_history(spark, repo):
     assert hunks.filter("path = 'src/b.py'").count() == 2
 
 
+def test_history_of_merged_branches(spark, tmp_path):
+    """Every commit that leads to HEAD counts, each by its change against its first parent."""
+    root = tmp_path / "merged"
+    root.mkdir()
+    clock = iter(range(1_700_000_000, 1_800_000_000, 60))
+
+    def run(*a):
+        when = f"{next(clock)} +0000"
+        env = {**os.environ, "GIT_AUTHOR_DATE": when, "GIT_COMMITTER_DATE": when}
+        subprocess.run(["git", "-C", str(root), "-c", "user.name=n", "-c", f"user.email={a[-1]}@x", *a], check=True, capture_output=True, env=env)
+
+    def commit(path, text, name):
+        (root / path).write_text(text)
+        run("add", ".")
+        run("commit", "-qm", name)
+
+    run("init", "-q", "-b", "trunk")
+    commit("m", "1", "a")
+    run("checkout", "-qb", "side")
+    commit("s", "1", "b")
+    commit("s", "2", "b")
+    run("checkout", "-q", "trunk")
+    commit("m", "2", "a")
+    run("merge", "-q", "--no-ff", "side", "-m", "joined")
+    commit("m", "3", "a")
+    history.register(spark)
+    rows = spark.read.format("commits").option("path", str(root)).load().collect()
+    assert sorted((r["path"], r["author"] == history.author_key("b@x", "n")) for r in rows) == [("m", False)] * 3 + [("s", False)] + [("s", True)] * 2
+    assert [r["ts"] for r in rows] == sorted((r["ts"] for r in rows), reverse=True)
+    first = subprocess.run(["git", "-C", str(root), "rev-list", "--max-parents=0", "HEAD"], capture_output=True, text=True).stdout.strip()
+    since = spark.read.format("commits").option("path", str(root)).option("since", first).load()
+    assert sorted(r["path"] for r in since.collect()) == ["m", "m", "s", "s", "s"]
+    assert {r["path"] for r in spark.read.format("commits").option("path", str(root)).option("depth", "1").load().collect()} == {"m"}
+
+
+def test_patterns_are_checked_where_they_run(spark):
+    from weftline.operators.rules import valid_pattern
+
+    assert valid_pattern("(?<x>a)+") == "(?<x>a)+"
+    for bad in ("(?P<x>a)", "(", "a{2,1}"):
+        with pytest.raises(ValueError):
+            valid_pattern(bad)
+
+
 def test_scoped_resolution(spark):
     schema = "path string, kind string, name string, def_bs long, def_be long, visibility string, attributes array<string>, complexity long"
     decls = [("crates/a/x.rs", "f", 0, 100), ("crates/a/x.rs", "g", 200, 300), ("crates/a/y.rs", "g", 0, 50), ("crates/a/y.rs", "h", 60, 90), ("crates/b/z.rs", "only", 0, 50), ("crates/b/z.rs", "h", 60, 90)]

@@ -54,7 +54,7 @@ def scoped_edges(found: DataFrame, calls: DataFrame, renders: DataFrame, hooks:
         calls.select("path", F.col("callee").alias("name"), "bs", "be", F.lit("References").alias("kind"), (F.col("shape") == "free").alias("wide"), F.lit(0).alias("_o"))
         .unionByName(renders.select("path", "name", "bs", "be", F.lit("Renders").alias("kind"), F.lit(True).alias("wide"), F.lit(1).alias("_o")))
         .unionByName(hooks.select("path", "name", "bs", "be", F.lit("UsesHook").alias("kind"), F.lit(True).alias("wide"), F.lit(2).alias("_o")))
-        .withColumn("site_id", F.struct("path", "_o", "bs", "be", "name"))
+        .withColumn("site_id", F.struct("path", "_o", "bs", "be", "name", "wide"))
     )
     sites = _around(sites, found)
     # of each name: the first symbol of each file, of each package, and the only one overall

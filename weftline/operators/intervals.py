@@ -1,11 +1,12 @@
 """Interval joins: overlap, innermost containment, the next start after a place, lines of byte places.
 
-Joins key on the file first, so a range condition is only tried within a file; overlaps also key on buckets of lines.
-The others compare a file's sites with all of its declarations, which grows with the square of a file's size."""
+Joins key on the file and on buckets of places, so a large file is many keys. A range goes to the buckets of a width that
+follows its own length, so it meets three of them at most, and a place looks into one bucket of each width there is. The next
+start is a sort by place and a running value."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.rules import first_match
@@ -24,33 +25,55 @@ def overlaps(hunks: DataFrame, ranges: DataFrame, width: int = 256) -> DataFrame
     return both.filter(F.col("_b") == F.floor(F.greatest("start_line", "first_line") / width)).drop("_b")
 
 
+def _around(places: DataFrame, at: str, end: str, ranges: DataFrame, start: str, stop: str) -> DataFrame:
+    """Rows of places (path, at, end, ...) with each of ranges (path, start, stop, ...) of the path around them."""
+    size = F.ceil(F.log2(F.greatest(F.col(stop) - F.col(start), F.lit(1)))).cast("int")
+    dealt = ranges.filter(F.col(start) <= F.col(stop)).withColumn("_w", size)
+    widths = [r["_w"] for r in dealt.select("_w").distinct().collect()]  # 64 at most
+    bucket = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_w")))
+    dealt = dealt.withColumn("_b", F.explode(F.sequence(bucket(start), bucket(stop))))
+    probes = places.withColumn("_w", F.explode(F.array(*map(F.lit, widths)) if widths else F.array().cast("array<int>"))).withColumn("_b", bucket(at))
+    return probes.join(dealt, ["path", "_w", "_b"]).filter((F.col(start) <= F.col(at)) & (F.col(stop) >= F.col(end))).drop("_w", "_b")
+
+
 def innermost(sites: DataFrame, decls: DataFrame, site: str = "site_id") -> DataFrame:
     """Each site (path, bs, be) with the shortest declaration (decl_id, path, def_bs, def_be) around it; the first in the
     source on ties. Sites in none are left out."""
-    both = sites.join(decls, "path").filter("def_bs <= bs and def_be >= be")
+    both = _around(sites, "bs", "be", decls, "def_bs", "def_be")
     return first_match(both, [site], [F.col("def_be") - F.col("def_bs"), F.col("def_bs"), F.col("decl_id")])
 
 
 def container_or_largest(marks: DataFrame, decls: DataFrame, mark: str = "mark_id") -> DataFrame:
     """Each mark (path, bs, be) with the smallest declaration around it, else the largest inside it."""
-    both = marks.join(decls, "path").withColumn("_around", (F.col("def_bs") <= F.col("bs")) & (F.col("def_be") >= F.col("be"))).withColumn("_inside", (F.col("bs") <= F.col("def_bs")) & (F.col("be") >= F.col("def_be")))
     size = F.col("def_be") - F.col("def_bs")
-    out = first_match(both.filter("_around or _inside"), [mark], [F.col("_around").desc(), F.when(F.col("_around"), size).otherwise(-size), F.col("def_bs"), F.col("decl_id")])
-    return out.drop("_around", "_inside")
+    around = first_match(_around(marks, "bs", "be", decls, "def_bs", "def_be"), [mark], [size, F.col("def_bs"), F.col("decl_id")])
+    rest = marks.join(around.select(mark), mark, "left_anti")
+    inside = first_match(_around(decls, "def_bs", "def_be", rest, "bs", "be"), [mark], [-size, F.col("def_bs"), F.col("decl_id")])
+    return around.unionByName(inside)
 
 
 def next_start(marks: DataFrame, decls: DataFrame, mark: str = "mark_id") -> DataFrame:
-    """Each mark (path, be) with the declaration of its path that starts first at or after its end."""
-    both = marks.join(decls, "path").filter("def_bs >= be")
-    return first_match(both, [mark], [F.col("def_bs"), F.col("decl_id")])
+    """Each mark (path, be) with the declaration of its path that starts first at or after its end, the least decl_id of several."""
+    rest = [c for c in decls.columns if c != "path"]
+    own = [c for c in marks.columns if c != "path"]
+    starts = decls.filter("def_bs is not null").groupBy("path", F.col("def_bs").alias("_at")).agg(F.min_by(F.struct(*rest), "decl_id").alias("_d")).withColumn("_m", F.lit(None))
+    rows = marks.filter("be is not null").select("path", F.col("be").alias("_at"), F.struct(*own).alias("_m")).unionByName(starts, allowMissingColumns=True)
+    # from the last place to the first; at one place a start comes before the marks
+    order = Window.partitionBy("path").orderBy(F.desc("_at"), F.col("_m").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = rows.withColumn("_d", F.last("_d", True).over(order)).filter("_m is not null and _d is not null")
+    return found.select("path", "_m.*", "_d.*")
 
 
 def line_starts(content: Column) -> Column:
     """Byte places where lines start, from 0."""
-    lines = F.split(F.decode(content, "ISO-8859-1"), "\n")
-    sizes = F.transform(lines, lambda x: F.length(x) + 1)
-    ends = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    return F.slice(ends, 1, F.size(lines))
+    import numpy as np
+    import pandas as pd
+
+    def starts(found):
+        return pd.Series([None if x is None else [0, *(np.flatnonzero(np.frombuffer(x, np.uint8) == 10) + 1).tolist()] for x in found])
+
+    starts.__annotations__ = {"found": pd.Series, "return": pd.Series}
+    return F.pandas_udf(starts, "array<int>")(content.cast("binary"))
 
 
 def line_of(starts: Column, place: Column) -> Column:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import LOCAL, cycles
@@ -243,9 +242,9 @@ def first_match(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFr
 
 
 def valid_pattern(pattern: str) -> str:
-    """The pattern, once Python's compiler has taken it; ValueError otherwise."""
+    """The pattern, once the session's own compiler, which will run it, has taken it; ValueError otherwise."""
     try:
-        re.compile(pattern)
-    except re.error as e:
-        raise ValueError(f"bad pattern: {e}") from e
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        raise ValueError(f"bad pattern: {e}") from None
     return pattern

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Orders whose key is a multiple of this make edges.
-STEP = 40
-
 
 class Bridge:
     """Model tables over a folder of the driver's Parquet files."""
@@ -40,7 +37,7 @@ class Bridge:
     @property
     def stored_edges(self) -> DataFrame:
         """src, dst, kind (stored), file (evidence: the source's), byte_start."""
-        l = self.raw("lineitem").filter(F.col("l_orderkey") % STEP == 0)
+        l = self.raw("lineitem")
         by = l.groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("n"), F.min("l_returnflag").alias("flag"))
         w = Window.partitionBy("l_orderkey").orderBy("n", "l_partkey")
         kind = F.when(F.col("flag") == "A", "References").when(F.col("flag") == "N", "Imports").otherwise("TypeOf")
@@ -110,7 +107,7 @@ class Bridge:
     @property
     def sites(self) -> DataFrame:
         """path, bs, be, callee, shape, sym, roles: line items as places in the part's declaration that name another part."""
-        l = self.raw("lineitem").filter(F.col("l_orderkey") % STEP == 0)
+        l = self.raw("lineitem")
         a = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
         b = self.raw("part").select(F.col("p_partkey").alias("l_suppkey"), F.col("p_name").alias("callee"))
         bs = 100 * F.col("l_partkey") + F.col("l_linenumber")
@@ -134,7 +131,7 @@ class Bridge:
     @property
     def marks(self) -> DataFrame:
         """site_id, path, bs, be over the same files."""
-        l = self.raw("lineitem").filter(F.col("l_orderkey") % 400 == 0)
+        l = self.raw("lineitem")
         p = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("path"))
         bs = 60 * F.col("l_linenumber") + F.col("l_quantity").cast("int")
         return l.join(p, "l_partkey").select((100 * F.col("l_orderkey") + 10 * F.col("l_linenumber")).alias("site_id"), "path", bs.alias("bs"), (bs + 5).alias("be")).groupBy("site_id").agg(F.min(F.struct("path", "bs", "be")).alias("s")).select("site_id", "s.path", "s.bs", "s.be")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 import subprocess
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader
@@ -21,6 +22,19 @@ def git(repo: str, *args: str) -> bytes:
     return subprocess.run(["git", "-C", repo, *args], capture_output=True, check=True).stdout
 
 
+def told(repo: str, *args: str) -> Iterator[str]:
+    """What the client writes between marks U+0001, read as it comes: one commit at a time is held."""
+    with subprocess.Popen(["git", "-C", repo, *args], stdout=subprocess.PIPE) as run:
+        held = b""
+        while chunk := run.stdout.read(1 << 16):
+            *whole, held = (held + chunk).split(b"\1")
+            yield from (part.decode("utf-8", "replace") for part in whole if part)
+        if held:
+            yield held.decode("utf-8", "replace")
+    if run.returncode:
+        raise subprocess.CalledProcessError(run.returncode, run.args)
+
+
 def is_ancestor(repo: str, commit: str, head: str = "HEAD") -> bool:
     return subprocess.run(["git", "-C", repo, "merge-base", "--is-ancestor", commit, head], capture_output=True).returncode == 0
 
@@ -36,15 +50,14 @@ class CommitReader(DataSourceReader):
         self.repo, self.since, self.depth = options["path"], options.get("since"), options.get("depth")
 
     def read(self, partition) -> Iterator[tuple]:
-        args = ["log", "--first-parent", "-m", "--no-renames", "--name-only", "-z", "--format=%x01%H%x02%ae%x02%an%x02%ct%x02"]
+        """All commits that lead to HEAD, those of merged branches too, each against its first parent; newest first."""
+        args = ["log", "--diff-merges=first-parent", "--no-renames", "--name-only", "-z", "--format=%x01%H%x02%ae%x02%an%x02%ct%x02"]
         if self.depth:
             args.append(f"--max-count={self.depth}")
         # a mark that is no ancestor (rewritten history) means the whole walk
         args.append(f"{self.since}..HEAD" if self.since and is_ancestor(self.repo, self.since) else "HEAD")
-        for part in git(self.repo, *args).decode("utf-8", "replace").split("\x01")[1:]:
+        for part in told(self.repo, *args):
             commit, email, name, when, rest = part.split("\x02", 4)
-            from datetime import datetime, timezone
-
             ts = datetime.fromtimestamp(int(when), timezone.utc).replace(tzinfo=None)
             for path in sorted({p.strip("\n") for p in rest.split("\0")} - {""}):
                 yield commit, author_key(email, name), ts, path
