@@ -15,6 +15,71 @@ def test_ftrl_learns_a_separation():
     assert w[3] > 0 > w[0]
 
 
+def test_ftrl_against_a_plain_form():
+    """The update rule, number by number, from its published form."""
+    import math
+    import random
+
+    r = random.Random(2)
+    a, b, l1, l2 = 0.5, 1.0, 0.01, 0.1
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0)) <= l1:
+            return 0.0
+        return -(z[k] - math.copysign(l1, z[k])) / ((b + math.sqrt(n[k])) / a + l2)
+
+    model = quality.Ftrl(4, a, b, l1, l2)
+    for _ in range(300):
+        at = sorted(r.sample(range(16), 3))
+        x = [r.random() for _ in at]
+        y = int(at[0] < 5)
+        model.learn(np.array(at), np.array(x), y)
+        x, at = [*x, 1.0], [*at, 16]
+        w = {k: weight(k) for k in at}
+        p = 1 / (1 + math.exp(-sum(w[k] * v for k, v in zip(at, x))))
+        for k, v in zip(at, x):
+            g = (p - y) * v
+            s = (math.sqrt(n.get(k, 0) + g * g) - math.sqrt(n.get(k, 0))) / a
+            z[k] = z.get(k, 0) + g - s * w[k]
+            n[k] = n.get(k, 0) + g * g
+    assert np.allclose(model.weights(slice(None)), [weight(k) for k in range(17)])
+
+
+def test_scores_against_a_plain_sum(spark, docs_of, words):
+    """Scores of the operator are logistic sums of the weights of plainly listed features; a very long text is read whole."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    r = np.random.default_rng(6)
+    model = r.normal(size=(1 << quality.BITS) + 1).astype(np.float32)
+    texts = ["One two, two THREE!! 12 \n a_b", "x", None, " ", " ".join(words) * 200]
+    m64 = (1 << 64) - 1
+    A, B = int(quality._A), int(quality._B)
+
+    def plain(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text or "")
+        found = Counter()
+        for of, salt in ((lambda t: xxhash.xxh64_intdigest(t), 11), (lambda t: xxhash.xxh64_intdigest(quality.shape(t), 1), 13)):
+            h = [of(t) for t in tokens]
+            found.update(((c + salt) * A & m64) >> (64 - quality.BITS) for c in h)
+            found.update((((x * B + (y ^ (y >> 31)) + salt) & m64) * A & m64) >> (64 - quality.BITS) for x, y in zip(h, h[1:]))
+        found.update((((a == b) + 17) * B * A & m64) >> (64 - quality.BITS) for a, b in zip(tokens, tokens[1:]))
+        n = sum(found.values())
+        return 1 / (1 + math.exp(-max(-35, min(35, sum(math.sqrt(c / n) * float(model[k]) for k, c in found.items()) + float(model[-1])))))
+
+    got = {x["doc_id"]: x["score"] for x in quality.scored(docs_of(list(enumerate(texts)), True), model).collect()}
+    assert all(got[k] == pytest.approx(plain(t), rel=1e-4) for k, t in enumerate(texts))
+
+
+def test_sample_bounds_pairs_of_document_and_label(spark, docs_of):
+    docs = docs_of([(k % 3, f"text {k}") for k in range(30)])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (2, 1)], "doc_id long, quality int")
+    assert quality.learn(docs, labels, sample=7).shape == quality.learn(docs_of([]), labels).shape
+
+
 def test_features_have_norm_one():
     at, x = quality.features("Some words, some WORDS!! 12")
     assert len(set(at.tolist())) == len(at) and abs((x * x).sum() - 1) < 1e-9
@@ -82,6 +147,71 @@ def test_few_documents_of_a_language_use_all_bands(spark, docs_of, words):
     assert got[7] == ("script:latin", True) and got[8] == ("xx", True) and len(got) == 60
 
 
+def test_kept_against_brute_force(spark):
+    """Measures, quartiles, spreads and verdicts of every document of the query, worked out plainly."""
+    import math
+    from collections import Counter, defaultdict
+
+    import sentencepiece
+
+    folder = "/root/testdata/sf0.001"
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in fertility.op8_rules(spark, folder).collect()}
+    assert set(got) == set(docs)
+    measures, groups = {}, defaultdict(list)
+    for d, r in docs.items():
+        text = r["text"] or ""
+        ids = model.encode(text)
+        n = Counter(ids)
+        share = [c / len(ids) for c in n.values()]
+        m = {"chars_per_token": len(text) / len(ids), "byte_share": sum(c for k, c in n.items() if model.is_byte(k)) / len(ids), "entropy": -sum(p * math.log2(p) for p in share), "n_tokens": len(ids)} if ids else dict.fromkeys(("chars_per_token", "byte_share", "entropy", "n_tokens"), 0)
+        measures[d] = m
+        assert all(got[d][k] == pytest.approx(m[k], abs=1e-9) for k in ("chars_per_token", "byte_share", "entropy"))
+        if not got[d]["base_failed"]:
+            groups[r["lang"] or "script:" + fertility.script(text)].append(m)
+
+    def quartile(values, share, step):
+        values = sorted(math.floor(v / step + 0.5) for v in values)
+        return values[math.ceil(share * len(values)) - 1] * step
+
+    names = ("chars_per_token", "byte_share", "entropy")
+    q = {g: {m: (quartile([x[m] for x in ms], 0.25, fertility.STEP[m]), quartile([x[m] for x in ms], 0.75, fertility.STEP[m])) for m in names} for g, ms in groups.items()}
+    median = {g: 2 ** quartile([math.log2(max(1, x["n_tokens"])) for x in ms], 0.5, 1 / 64) for g, ms in groups.items()}
+    total = sum(map(len, groups.values()))
+    mean = {m: sum(len(ms) * (q[g][m][1] - q[g][m][0]) for g, ms in groups.items()) / total for m in names}
+    for d, r in docs.items():
+        g, x = r["lang"] or "script:" + fertility.script(r["text"] or ""), measures[d]
+        if got[d]["base_failed"]:
+            assert not got[d]["kept"]
+            continue
+        inside, near = True, False
+        for m in names:
+            spread = (len(groups[g]) * (q[g][m][1] - q[g][m][0]) + fertility.PRIOR * mean[m]) / (len(groups[g]) + fertility.PRIOR)
+            reach = fertility.REACH[m] * max(spread, fertility.FLOOR[m]) * math.sqrt(max(1, median[g] / max(1, x["n_tokens"])))
+            low, high = q[g][m][0] - reach, q[g][m][1] + reach
+            inside &= (x[m] >= low or m == "byte_share") and (x[m] <= high or m == "entropy")
+            near |= min(abs(x[m] - low), abs(x[m] - high)) < 1e-9
+        assert got[d]["kept"] == inside or near
+
+
+def test_no_switch_at_a_number_of_documents(spark, docs_of, words):
+    """A document is judged alike whether 49 or 51 others have its language."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(4)
+    odd = "Zxqj " * 30 + " ".join(r.choices(words, k=120))
+    rows = [(d, " ".join(r.choices(words, k=150))) for d in range(160)] + [(999, odd)]
+    verdicts = set()
+    for n in (30, 49, 50, 51, 70):
+        docs = docs_of(rows).withColumn("lang", F.when((F.col("doc_id") < n) | (F.col("doc_id") == 999), "xx").otherwise("en"))
+        verdicts |= {x["kept"] for x in fertility.judged(docs, public_tokenizers.path("piece_bpe_32k.model")).filter("doc_id = 999").collect()}
+    assert len(verdicts) == 1
+
+
 def test_script_of_the_whole_text():
     assert fertility.script("1 | 2 | 3\n" * 2000 + "слово " * 50) == "cyrillic"
     assert fertility.script("a word " * 2000 + "слово " * 90_000) == "cyrillic"

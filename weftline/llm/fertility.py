@@ -2,15 +2,16 @@
 
 A public vocabulary with byte fallback measures each text: characters per token, share of tokens that are fallback
 bytes, entropy of its tokens in bits. Documents of a language (or script, where no language is given) set the bands that
-its documents must lie in: the quartiles of all of them, widened by multiples of the spread between quartiles. A measure of
-fewer tokens scatters more, so bands widen with the root of (median number of tokens / a document's tokens) below the median."""
+its documents must lie in: their own quartiles, widened by multiples of the spread between quartiles. The spread is that of
+the language's documents, and the mean spread of all languages counts like PRIOR further documents, so a language of few
+documents has its own place and a usual width. Quartiles are exact over measures rounded to STEP. A measure of fewer tokens scatters more, so bands widen with the root of (median number of tokens / a document's tokens) below the median."""
 
 from __future__ import annotations
 
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import mapped, table, written
@@ -20,8 +21,10 @@ MIN_WORDS = 50
 REACH = {"chars_per_token": 4.5, "byte_share": 6.0, "entropy": 2.0}
 #: Least width of a spread, so that a uniform corpus doesn't reject all else.
 FLOOR = {"chars_per_token": 0.04, "byte_share": 0.004, "entropy": 0.25}
-#: Documents that a language or script needs for bands of its own; below that all documents' bands hold.
-ENOUGH = 50
+#: Documents that the mean spread of all languages counts for in a language's own.
+PRIOR = 50
+#: Rounding of the measures where quartiles are taken; of the number of tokens its logarithm to base 2 is rounded.
+STEP = {"chars_per_token": 1e-3, "byte_share": 1e-4, "entropy": 1e-3, "n_tokens": 1 / 64}
 #: Languages and scripts up to which their bands are broadcast; more are joined by shuffling.
 FEW = 10_000
 #: Characters whose scripts are counted at once.
@@ -131,32 +134,44 @@ def measured(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "te
     return mapped(plain, work, kind, 64).withColumn("base_failed", failed)
 
 
-def _quartiles() -> list[Column]:
-    return [F.percentile_approx(m, [0.25, 0.75], 5000).alias(f"_{m}") for m in _MEASURES] + [F.percentile_approx("n_tokens", 0.5, 5000).alias("_median")]
+def bands(good: DataFrame) -> DataFrame:
+    """(group, q1, q3 and spread of each measure, median): one row for each group of good. Each measure of a group is counted by
+    rounded value, so what is sorted has no more rows than values."""
+    value = {m: F.col(m) for m in _MEASURES} | {"n_tokens": F.log2(F.greatest(F.col("n_tokens"), F.lit(1)))}
+    rows = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.round(v / STEP[m]).cast("long").alias("bin")) for m, v in value.items())))
+    counts = good.select("group", rows.alias("r")).groupBy("group", "r.measure", "r.bin").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("group", "measure").orderBy("bin")
+    upto = counts.withColumn("upto", F.sum("n").over(order)).withColumn("all", F.sum("n").over(Window.partitionBy("group", "measure")))
+    at = {name: F.min(F.when(F.col("upto") >= share * F.col("all"), F.col("bin"))) for name, share in (("q1", 0.25), ("q2", 0.5), ("q3", 0.75))}
+    quartiles = upto.groupBy("group", "measure").agg(F.max("all").alias("n"), *(v.alias(k) for k, v in at.items()))
+    of = lambda m, q: F.max(F.when(F.col("measure") == m, F.col(q)))
+    cols = [(of(m, q) * STEP[m]).alias(f"{m}_{q}") for m in _MEASURES for q in ("q1", "q3")]
+    own = quartiles.groupBy("group").agg(F.max("n").alias("n"), *cols, F.pow(F.lit(2.0), of("n_tokens", "q2") * STEP["n_tokens"]).alias("median"))
+    mean = own.agg(*((F.sum(F.col("n") * (F.col(f"{m}_q3") - F.col(f"{m}_q1"))) / F.sum("n")).alias(f"{m}_mean") for m in _MEASURES))
+    spread = [((F.col("n") * (F.col(f"{m}_q3") - F.col(f"{m}_q1")) + PRIOR * F.col(f"{m}_mean")) / (F.col("n") + PRIOR)).alias(f"{m}_spread") for m in _MEASURES]
+    return own.crossJoin(F.broadcast(mean)).select("group", "median", *(f"{m}_{q}" for m in _MEASURES for q in ("q1", "q3")), *spread)  # mean: one row
 
 
 def _inside(m: str) -> Column:
-    q = F.col(f"_{m}")
-    scatter = F.sqrt(F.greatest(F.lit(1.0), F.col("_median") / F.greatest(F.col("n_tokens"), F.lit(1))))
-    spread = REACH[m] * F.greatest(q[1] - q[0], F.lit(FLOOR[m])) * scatter
-    low, high = F.col(m) >= q[0] - spread, F.col(m) <= q[1] + spread
+    scatter = F.sqrt(F.greatest(F.lit(1.0), F.col("median") / F.greatest(F.col("n_tokens"), F.lit(1))))
+    reach = REACH[m] * F.greatest(F.col(f"{m}_spread"), F.lit(FLOOR[m])) * scatter
+    low, high = F.col(m) >= F.col(f"{m}_q1") - reach, F.col(m) <= F.col(f"{m}_q3") + reach
     return {"chars_per_token": low & high, "byte_share": high, "entropy": low}[m]
 
 
 def judged(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """measured() with `kept`: whether the base rules hold and every fertility measure lies in its group's band.
 
-    Bands come from all documents that pass the base rules. Groups under ENOUGH such documents use the bands of all
-    documents; where there are none at all, nothing passes the base rules either. Repeated rows are judged alike."""
+    Bands come from all documents that pass the base rules; in a group without any, no document passes them. Null and empty
+    texts fail the base rules. Very long texts are read whole. A measure just on a band's bound is inside. Repeated rows
+    are judged alike, and each counts for the bands. Only the three named columns are read, so others may have any name.
+    Empty docs: no rows."""
     found = written(measured(docs, path, doc_id, text, lang), "fertility")
-    good = found.filter(~F.col("base_failed"))
-    own = written(good.groupBy("group").agg(F.count("*").alias("_n"), *_quartiles()).filter(F.col("_n") >= ENOUGH).drop("_n"), "bands")
+    own = written(bands(found.filter(~F.col("base_failed"))), "bands")
     if own.count() <= FEW:
         own = F.broadcast(own)
-    every = good.agg(*_quartiles())
-    rest = found.join(own.select("group"), "group", "left_anti").crossJoin(F.broadcast(every))  # one row
-    both = found.join(own, "group").unionByName(rest)
     ok = _inside(_MEASURES[0]) & _inside(_MEASURES[1]) & _inside(_MEASURES[2])
+    both = found.join(own, "group", "left")
     return both.select("doc_id", *_BASE, "base_failed", (~F.col("base_failed") & F.coalesce(ok, F.lit(False))).alias("kept"), "group", *_MEASURES, "n_tokens")
 
 
