@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -201,12 +202,71 @@ def _dominator_depths(steps: DataFrame, start: DataFrame) -> DataFrame:
         now, depth = tops.select(F.col("node").alias("top")), depth + 1
 
 
+class _Callers:
+    """The callers' graph in arrays; edges lie by the node they lead to."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray):
+        self.names, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        to, start = at[: len(src)], at[len(src) :]
+        order = np.argsort(to, kind="stable")
+        self.to, self.start = to[order], start[order]
+        self.cut = np.flatnonzero(np.diff(self.to, prepend=-1))
+        self.heads = self.to[self.cut]
+
+    def musts(self, seed: int) -> np.ndarray:
+        """Nodes whose immediate dominator is the seed. Roots begin as the seed's callers; each node takes the least and the
+        greatest root that lead to it, and one between two roots, next to a node of a single one, is a root as well."""
+        s = int(np.searchsorted(self.names, seed))
+        if s == len(self.names) or self.names[s] != seed:
+            return self.names[:0]
+        n = len(self.names)
+        root = np.zeros(n, bool)
+        root[self.to[self.start == s]] = True
+        root[s] = False
+        inner = self.start != s
+        while True:
+            low, high = np.where(root, np.arange(n), n), np.where(root, np.arange(n), -1)
+            while True:
+                a = np.minimum.reduceat(np.where(inner, low[self.start], n), self.cut)
+                b = np.maximum.reduceat(np.where(inner, high[self.start], -1), self.cut)
+                free = ~root[self.heads] & (self.heads != s)
+                a, b = np.where(free, np.minimum(a, low[self.heads]), low[self.heads]), np.where(free, np.maximum(b, high[self.heads]), high[self.heads])
+                if (a == low[self.heads]).all() and (b == high[self.heads]).all():
+                    break
+                low[self.heads], high[self.heads] = a, b
+            two, one = (low < high) & (high >= 0), low == high
+            more = self.to[inner & two[self.to] & one[self.start]]
+            if not two.any():
+                return self.names[root]
+            root[more] = True
+
+
+def musts(edges: DataFrame, seeds: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(seed, node): nodes that reach a seed over any kinds and that no single other node stands before."""
+    steps = edges.select("src", "dst").filter("src <> dst").distinct()
+    if steps.count() > local:
+        return dominators(edges, seeds, local).filter("depth = 1").select("seed", "node")
+    spark = edges.sparkSession
+    table = steps.toPandas()  # counted just now
+    shared = spark.sparkContext.broadcast((table["src"].to_numpy(), table["dst"].to_numpy()))
+
+    def run(batches):
+        graph = None
+        for pdf in batches:
+            for seed in pdf["seed"] if len(shared.value[0]) else ():
+                graph = graph or _Callers(*shared.value)
+                yield pd.DataFrame({"seed": seed, "node": graph.musts(seed)}, dtype="int64")
+
+    dealt = seeds.select("seed").distinct().repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(run, "seed long, node long")
+
+
 def blast_radius(edges: DataFrame, seeds: DataFrame, kinds: Iterable[str] | None = None, depth: int = 3, local: int = LOCAL) -> DataFrame:
     """(seed, node, hop, must): all within depth hops of a seed along edges of the kinds. must: over all kinds and any
     depth, only the seed itself dominates the node in the callers' graph."""
     near = callers(of_kinds(edges, kinds), seeds, max(1, depth))
-    tree = dominators(edges, seeds, local)
-    return near.join(tree, ["seed", "node"]).select("seed", "node", "hop", (F.col("depth") == 1).alias("must"))
+    first = musts(edges, seeds, local).withColumn("_must", F.lit(True))
+    return near.join(first, ["seed", "node"], "left").select("seed", "node", "hop", F.coalesce("_must", F.lit(False)).alias("must"))
 
 
 def plan_assist(edges: DataFrame, symbols: DataFrame, seed: int, max_files: int = 16, local: int = LOCAL) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import cut
-from weftline.operators.graph import LOCAL, blast_radius
+from weftline.operators.graph import LOCAL, callers, musts
 from weftline.operators.intervals import overlaps
 
 
@@ -21,15 +21,41 @@ def seeds(hunks: DataFrame, ranges: DataFrame) -> DataFrame:
     return overlaps(hunks.select("path", "start_line", "end_line"), ranges).select(F.col("symbol_id").alias("seed"), "path").distinct()
 
 
+def _reach(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(node): all within depth hops of a seed other than itself. Of the seeds that lead to a node, the least and the greatest
+    tell whether there is another one, so a node has one row however many seeds there are."""
+    label = seeds.select(F.col("seed").alias("node"), F.col("seed").alias("a"), F.col("seed").alias("b"))
+    for _ in range(max(1, depth)):
+        came = label.join(steps, label["node"] == steps["dst"]).select(F.col("src").alias("node"), "a", "b")
+        label = cut(label.unionAll(came).groupBy("node").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+    return label.filter("a <> node or b <> node").select("node")
+
+
 def diff_blast(edges: DataFrame, hunks: DataFrame, ranges: DataFrame, changed: DataFrame, depth: int = 3, local: int = LOCAL) -> DataFrame:
     """(part, symbol_id, path): seeds of the diff, what must and may change with them, and changed paths without a seed.
-    may leaves out what some seed's must has."""
+    may leaves out what some seed's must has.
+
+    Direct callers of a seed are its must. For the other nodes reached, the seed that stands before a node alone is the one
+    that the node, in the graph turned round, stands before alone; so work is done once for each seed or once for each such
+    node, whichever are fewer."""
     found = cut(seeds(hunks, ranges))
-    reach = blast_radius(edges, found.select("seed").distinct(), None, depth, local)
-    must = reach.filter("must").select(F.col("node").alias("symbol_id")).distinct()
-    may = reach.filter("not must").select(F.col("node").alias("symbol_id")).distinct().join(must, "symbol_id", "left_anti")
+    start = cut(found.select("seed").distinct())
+    steps = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    reach = cut(_reach(steps, start, depth))
+    direct = cut(steps.join(start, steps["dst"] == start["seed"], "left_semi").select(F.col("src").alias("node")).distinct())
+    rest = cut(reach.join(direct, "node", "left_anti"))
+    many = rest.count()
+    if many and many <= start.count():
+        back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        ends = rest.select(F.col("node").alias("seed"))
+        pairs = callers(back, ends, max(1, depth)).join(musts(back, ends, local), ["seed", "node"])
+        more = pairs.join(start.select(F.col("seed").alias("node")), "node", "left_semi").select(F.col("seed").alias("node"))
+    else:
+        more = callers(steps, start, max(1, depth)).join(rest, "node", "left_semi").join(musts(steps, start, local), ["seed", "node"]).select("node")
+    must = cut(direct.unionAll(more).distinct() if many else direct).select(F.col("node").alias("symbol_id"))
+    may = reach.select(F.col("node").alias("symbol_id")).join(must, "symbol_id", "left_anti")
     none = F.lit(None).cast("string")
-    parts = [(found.select(F.col("seed").alias("symbol_id")).distinct(), "seed"), (must, "must"), (may, "may")]
+    parts = [(start.select(F.col("seed").alias("symbol_id")), "seed"), (must, "must"), (may, "may")]
     out = None
     for df, name in parts:
         part = df.select(F.lit(name).alias("part"), "symbol_id", none.alias("path"))
