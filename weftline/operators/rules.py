@@ -6,8 +6,8 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.operators.graph import LOCAL, cycles
-from weftline.operators.metrics import coupling
+from weftline.operators.graph import LOCAL, cycles, dead_code
+from weftline.operators.metrics import coupling, wide_modules
 
 # File extensions of each language.
 LANGUAGES = {
@@ -248,3 +248,15 @@ def valid_pattern(pattern: str) -> str:
     except IllegalArgumentException as e:
         raise ValueError(f"bad pattern: {e}") from None
     return pattern
+
+
+def weak_spots(symbols: DataFrame, modules: DataFrame, edges: DataFrame, prefix: str = "", min_ce: int = 15, local: int = LOCAL) -> DataFrame:
+    """(part, symbol_id, cycle, module, ce): members of cycles (part cycle), library modules with ce above min_ce (part module),
+    and symbols without an incoming edge that are no root (part dead; tests count as dead). The prefix narrows modules alone."""
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    ring = cycles(edges, local).select(F.lit("cycle").alias("part"), F.col("node").alias("symbol_id"), "cycle", none("string", "module"), none("long", "ce"))
+    wide = wide_modules(modules, edges, min_ce).filter(F.col("module").startswith(prefix))
+    wide = wide.select(F.lit("module").alias("part"), none("long", "symbol_id"), none("long", "cycle"), "module", F.col("ce").cast("long").alias("ce"))
+    dead = dead_code(symbols.select("symbol_id"), edges, symbols.filter(is_root()))
+    dead = dead.select(F.lit("dead").alias("part"), "symbol_id", none("long", "cycle"), none("string", "module"), none("long", "ce"))
+    return ring.unionAll(wide).unionAll(dead)

@@ -171,8 +171,14 @@ SQL = {
     "doc_kinds": """SELECT page_id, CASE WHEN contains(p, 'node_modules/') OR ends_with(p, '.min.js') THEN 'Vendored' WHEN starts_with(p, 'target/') OR contains(p, '/target/') OR ends_with(p, '.pb.rs') THEN 'Generated'
  WHEN contains(p, '/fixtures/') OR starts_with(p, 'fixtures/') THEN 'Fixture' WHEN contains(p, '/tests/') OR starts_with(p, 'tests/') OR contains(p, '/benches/') OR starts_with(p, 'benches/') OR contains(p, '_test.') OR ends_with(p, '/tests.rs') THEN 'Test'
  WHEN contains(p, '.claude/') OR regexp_matches(lower(p), '[^/]\\.(toml|lock|json|yaml|yml)$') THEN 'Config' ELSE 'Source' END AS doc_kind FROM (SELECT page_id, url AS p FROM pages)""",
-    "live_files": """SELECT user_id, arg_max(event_type, struct_pack(t := ts, i := event_id)) AS last_event, count(*) AS events FROM events GROUP BY user_id HAVING arg_max(event_type, struct_pack(t := ts, i := event_id)) <> 'purchase'""",
-    "outline_lines": "SELECT doc_id, len(string_split(text, chr(10))) AS lines, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS filled FROM documents",
+    "live_files": """SELECT path, kind FROM (SELECT CAST(user_id AS VARCHAR) AS path, arg_max(kind, struct_pack(t := ts, r := kind = 'Removed')) AS kind FROM
+ (SELECT *, CASE WHEN event_type = 'purchase' THEN 'Removed' ELSE 'Modified' END AS kind FROM events) GROUP BY 1) WHERE kind <> 'Removed'""",
+    "outline_lines": r"""SELECT path, CAST(CASE WHEN filled > 8 THEN 0 ELSE n END AS INT) AS kept_lines, CAST(CASE WHEN filled > 8 THEN n ELSE 0 END AS INT) AS elided_lines FROM
+ (SELECT CAST(doc_id AS VARCHAR) AS path, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n, len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS filled
+ FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))""",
+    "weak_spots": sql("""SELECT 'cycle' AS part, node AS symbol_id, cycle, CAST(NULL AS VARCHAR) AS module, CAST(NULL AS BIGINT) AS ce FROM cycle
+ UNION ALL SELECT 'module', NULL, NULL, module, CAST(ce AS BIGINT) FROM coupling WHERE ce > 15 AND starts_with(module, 'Brand#1')
+ UNION ALL SELECT 'dead', symbol_id, NULL, NULL, NULL FROM symbols WHERE symbol_id NOT IN (SELECT dst FROM edges) AND symbol_id NOT IN (SELECT symbol_id FROM marked WHERE root)""", CLOSURE, CYCLE),
     "symbol_ids": sql("SELECT symbol_id, file, kind, name, bs AS byte_start FROM declared"),
     "scoped_edges": sql("SELECT src, dst, 'References' AS kind, file, byte_start FROM (SELECT src, dst, path AS file, bs AS byte_start, row_number() OVER (PARTITION BY src, dst ORDER BY path, bs) AS k FROM resolved WHERE dst IS NOT NULL AND dst <> src) WHERE k = 1"),
     "occurrence_edges": sql("""SELECT DISTINCT src, dst, CASE roles WHEN 2 THEN 'Imports' WHEN 4 THEN 'Writes' WHEN 8 THEN 'Reads' ELSE 'References' END AS kind FROM placed JOIN defs USING (sym) WHERE roles <> 1 AND src <> dst

@@ -11,7 +11,9 @@ from weftline.operators import derive, graph, impact, intervals, metrics, naviga
 from weftline.plans import documents
 from weftline.plans.bridge import Bridge
 from weftline.plans.oracles import SQL
+from weftline.plans.outline import outlines
 from weftline.plans.store import stale
+from weftline.streaming.live import last_events
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -108,14 +110,17 @@ def _merged(b: Bridge) -> DataFrame:
 
 
 def _live(b: Bridge) -> DataFrame:
-    """Files that the event stream leaves in place: those whose last event isn't their removal."""
-    by = b.raw("events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event"), F.count("*").alias("events"))
-    return by.filter("last_event <> 'purchase'")
+    """Files that the event stream leaves in place: a user is a path, a purchase its removal."""
+    kind = F.when(F.col("event_type") == "purchase", "Removed").otherwise("Modified")
+    last = last_events(b.raw("events").select(F.col("user_id").cast("string").alias("path"), kind.alias("kind"), "ts"))
+    return last.filter("kind <> 'Removed'")
 
 
-def _lines(b: Bridge) -> DataFrame:
-    lines = F.split("text", "\n")
-    return b.raw("documents").select("doc_id", F.size(lines).cast("long").alias("lines"), F.size(F.filter(lines, lambda x: F.trim(x) != "")).cast("long").alias("filled"))
+def _outlines(b: Bridge) -> DataFrame:
+    """Outlines of the documents as files without symbols."""
+    files = b.raw("documents").select(F.col("doc_id").cast("string").alias("path"), F.lit(None).cast("string").alias("lang"), F.col("text").cast("binary").alias("content"))
+    none = b.spark.createDataFrame([], "file string, name string, kind string, byte_start long, byte_end long, visibility string")
+    return outlines(files, none).select("path", "kept_lines", "elided_lines")
 
 
 def _declared(b: Bridge) -> DataFrame:
@@ -196,7 +201,8 @@ _PLANS = {
     "merge_history": _merged,
     "doc_kinds": lambda b: b.raw("pages").select("page_id", rules.doc_kind(F.col("url")).alias("doc_kind")),
     "live_files": _live,
-    "outline_lines": _lines,
+    "outline_lines": _outlines,
+    "weak_spots": lambda b: rules.weak_spots(b.symbols, b.modules, b.edges, "Brand#1"),
     "symbol_ids": lambda b: _declared(b).select("symbol_id", "file", "kind", "name", "byte_start"),
     "scoped_edges": _scoped,
     "occurrence_edges": _occurrences,
