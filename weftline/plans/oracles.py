@@ -176,6 +176,11 @@ SQL = {
     "outline_lines": r"""SELECT path, CAST(CASE WHEN filled > 8 THEN 0 ELSE n END AS INT) AS kept_lines, CAST(CASE WHEN filled > 8 THEN n ELSE 0 END AS INT) AS elided_lines FROM
  (SELECT CAST(doc_id AS VARCHAR) AS path, len(l) - CASE WHEN l[-1] = '' THEN 1 ELSE 0 END AS n, len(list_filter(l, lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS filled
  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))""",
+    "reconcile": r"""SELECT 'HashDrift' AS kind, path, CASE WHEN layer = 'ui' THEN 'ui' END AS old_hash, CASE WHEN layer = 'ui' THEN 'new' ELSE layer END AS new_hash FROM
+ (SELECT DISTINCT p_brand AS path, CASE CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INT) % 3 WHEN 0 THEN 'ui' WHEN 1 THEN 'core' ELSE 'data' END AS layer FROM part) WHERE layer <> 'core'""",
+    "fresh_spans": r"""SELECT p_partkey AS symbol_id, p_brand AS path, CAST(p_size AS INT) AS first_line, CAST(p_size + 3 AS INT) AS last_line FROM part WHERE CAST(regexp_extract(p_brand, '(\d+)$', 1) AS INT) % 3 = 1""",
+    "under": sql("""SELECT path, score FROM (SELECT path, round((CAST(commits AS DOUBLE) / max(commits) OVER ()) * (CAST(coalesce(complexity, 0) AS DOUBLE) / nullif(max(coalesce(complexity, 0)) OVER (), 0)), 9) AS score
+ FROM churn LEFT JOIN file_complexity USING (path)) WHERE starts_with(path, 'Brand#1')"""),
     "weak_spots": sql("""SELECT 'cycle' AS part, node AS symbol_id, cycle, CAST(NULL AS VARCHAR) AS module, CAST(NULL AS BIGINT) AS ce FROM cycle
  UNION ALL SELECT 'module', NULL, NULL, module, CAST(ce AS BIGINT) FROM coupling WHERE ce > 15 AND starts_with(module, 'Brand#1')
  UNION ALL SELECT 'dead', symbol_id, NULL, NULL, NULL FROM symbols WHERE symbol_id NOT IN (SELECT dst FROM edges) AND symbol_id NOT IN (SELECT symbol_id FROM marked WHERE root)""", CLOSURE, CYCLE),

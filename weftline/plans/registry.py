@@ -13,7 +13,7 @@ from weftline.plans.bridge import Bridge
 from weftline.plans.oracles import SQL
 from weftline.plans.outline import outlines
 from weftline.plans.store import stale
-from weftline.streaming.live import last_events
+from weftline.streaming.live import last_events, reconcile
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -123,6 +123,12 @@ def _outlines(b: Bridge) -> DataFrame:
     return outlines(files, none).select("path", "kept_lines", "elided_lines")
 
 
+def _disk(b: Bridge) -> tuple[DataFrame, DataFrame]:
+    """Files as indexed and as on disk: ui files have changed, and data files have never been indexed."""
+    files = b.files.select("path", F.col("layer").alias("content_hash"))
+    return files.filter("content_hash <> 'data'"), files.withColumn("content_hash", F.when(F.col("content_hash") == "ui", "new").otherwise(F.col("content_hash")))
+
+
 def _declared(b: Bridge) -> DataFrame:
     files = b.decls.select("path").distinct().withColumn("size", F.lit(0).cast("long"))
     return derive.symbols(b.decls, files)
@@ -202,6 +208,9 @@ _PLANS = {
     "doc_kinds": lambda b: b.raw("pages").select("page_id", rules.doc_kind(F.col("url")).alias("doc_kind")),
     "live_files": _live,
     "outline_lines": _outlines,
+    "reconcile": lambda b: reconcile(*_disk(b)),
+    "fresh_spans": lambda b: impact.fresh_spans(b.ranges, *_disk(b)),
+    "under": lambda b: navigate.under(rounded(metrics.hotspots(metrics.file_churn(b.commit_files), metrics.file_complexity(b.symbols)), "score"), "Brand#1", "path").select("path", "score"),
     "weak_spots": lambda b: rules.weak_spots(b.symbols, b.modules, b.edges, "Brand#1"),
     "symbol_ids": lambda b: _declared(b).select("symbol_id", "file", "kind", "name", "byte_start"),
     "scoped_edges": _scoped,
