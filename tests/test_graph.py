@@ -150,6 +150,36 @@ def test_diff_blast_and_tests(spark):
     assert [r[0] for r in impact.affected_tests(found, ids(spark, 1, 6, 9)).collect()] == [1, 6]
 
 
+@pytest.mark.parametrize("local", [0, 6])
+def test_musts_of_all_seeds_beyond_local_size(spark, local):
+    """Ladders, chains and rings, from each node: as the dominators have it."""
+    r = random.Random(11)
+    rows = list({(a, b) for a, b in ((r.randrange(14), r.randrange(14)) for _ in range(21)) if a != b})
+    edges, every = edge_table(spark, [*rows, *((20 + k + d, 20 + k) for k in range(6) for d in (1, 2)), *((30 + k + 1, 30 + k) for k in range(4)), (40, 41), (41, 40)]), seed(spark, *range(42))
+    want = {tuple(x) for x in graph.dominators(edges, every).filter("depth = 1").select("seed", "node").collect()}
+    got = [tuple(x) for x in graph.musts(edges, every, local).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_diff_blast_writes_the_same_rounds_for_any_number_of_seeds(spark, monkeypatch):
+    """Beyond local size, seeds go through the rounds together."""
+    written = []
+    for module in (graph, impact):
+        monkeypatch.setattr(module, "cut", lambda df, cut=module.cut: written.append(df) or cut(df))
+
+    def run(n):
+        edges = edge_table(spark, [e for k in range(0, 100 * n, 100) for e in ((k + 2, k + 1), (k + 3, k + 1), (k + 4, k + 2), (k + 5, k + 3), (k + 6, k + 4), (k + 6, k + 5), (k + 7, k + 5), (k + 7, k + 8))])
+        ranges = spark.createDataFrame([(100 * k + 1, "a.rs", 1, 2) for k in range(n)], "symbol_id long, path string, first_line int, last_line int")
+        hunks = spark.createDataFrame([("a.rs", 1, 1)], "path string, start_line int, end_line int")
+        written.clear()
+        found = impact.diff_blast(edges, hunks, ranges, hunks.select("path"), local=0).collect()
+        return len(written), sorted((r["symbol_id"] // 100, r["symbol_id"] % 100) for r in found if r["part"] == "must")
+
+    few, many = run(1), run(12)
+    assert few[1] == [(0, 2), (0, 3), (0, 6)] and many[1] == [(k, n) for k in range(12) for n in (2, 3, 6)]
+    assert many[0] == few[0]
+
+
 def test_hotspots(spark):
     churn = spark.createDataFrame([("hot", 10), ("cold", 2), ("churned_simple", 8), ("complex_stable", 1)], "path string, commits long")
     size = spark.createDataFrame([("hot", 20), ("cold", 5), ("complex_stable", 25)], "path string, complexity long")

@@ -52,7 +52,7 @@ def callers(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     """(seed, node, hop): all that reach a seed along edges, with the fewest hops; the seed itself is left out.
 
     With a depth, one join a hop; without, until nothing is new, each round written."""
-    steps = edges.select("src", "dst").distinct()
+    steps = edges.select("src", "dst")  # each hop's rows are made distinct
     seen = seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hop"))
     front, hop = seen, 0
     while depth is None or hop < depth:
@@ -241,12 +241,77 @@ class _Callers:
             root[more] = True
 
 
+def _tree(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(seed, node, top): all that reach a seed, each with the direct caller of the seed that it is led to by a tree of fewest hops."""
+    seen = front = cut(steps.join(start, steps["dst"] == start["seed"]).select("seed", F.col("src").alias("node"), F.col("src").alias("top")))
+    rounds = 0
+    while not front.isEmpty():
+        new = front.join(steps, front["node"] == steps["dst"]).filter("src <> seed").groupBy("seed", F.col("src").alias("node")).agg(F.min("top").alias("top"))
+        front = cut(new.join(seen, ["seed", "node"], "left_anti"))
+        seen, rounds = seen.unionAll(front), rounds + 1
+        if rounds % 8 == 0:
+            seen = cut(seen)
+    return cut(seen)
+
+
+def _settled(links: DataFrame, must: DataFrame) -> DataFrame:
+    """(seed, node): the musts among the sources of links (seed, src, dst). Each takes the least and the greatest must that it
+    leads to by links; one between two, next to a node of a single one, is a must as well."""
+    roots, out = cut(must.join(links.select("seed", F.col("dst").alias("node")), ["seed", "node"], "left_semi")), None
+    while True:
+        inner = cut(links.join(roots.withColumnRenamed("node", "src"), ["seed", "src"], "left_anti"))
+        label = roots.select("seed", "node", F.col("node").alias("a"), F.col("node").alias("b"))
+        while True:
+            came = label.withColumnRenamed("node", "dst").join(inner, ["seed", "dst"]).select("seed", F.col("src").alias("node"), "a", "b")
+            new = cut(label.unionAll(came).groupBy("seed", "node").agg(F.min("a").alias("a"), F.max("b").alias("b")))
+            if new.exceptAll(label).isEmpty():
+                break
+            label = new
+        two = label.filter("a <> b").select("seed", F.col("node").alias("src"))
+        next_one = label.filter("a = b").select("seed", F.col("node").alias("dst"))
+        more = cut(inner.join(next_one, ["seed", "dst"], "left_semi").join(two, ["seed", "src"], "left_semi").select("seed", F.col("src").alias("node")).distinct())
+        if more.isEmpty():
+            return roots.limit(0) if out is None else out
+        roots, out = cut(roots.unionAll(more)), more if out is None else out.unionAll(more)
+
+
+def _musts_by_rounds(steps: DataFrame, seeds: DataFrame, local: int) -> DataFrame:
+    """musts for all seeds at once. Direct callers are some, and so is a node next to one of another branch of the tree: the two
+    ways to the seed share nothing. The others are decided by the edges of those nodes alone, where a must stands for its ways
+    to the seed: one task a seed takes them, or rounds beyond `local` of them."""
+    tree = _tree(steps, seeds.select("seed").distinct())
+    away = tree.select("seed", F.col("node").alias("dst"), F.col("top").alias("_t"))
+    across = tree.join(steps, tree["node"] == steps["src"]).select("seed", "node", "top", "dst").join(away, ["seed", "dst"])
+    must = cut(across.filter("_t <> top").select("seed", "node").unionAll(tree.filter("node = top").select("seed", "node")).distinct())
+    seen = cut(tree.select("seed", "node").join(must, ["seed", "node"], "left_anti"))
+    if seen.isEmpty():
+        return must
+    links = seen.join(steps, seen["node"] == steps["src"]).select("seed", "src", "dst")
+    known = must.select("seed", F.col("node").alias("dst"), F.lit(True).alias("sure")).unionAll(seen.select("seed", F.col("node").alias("dst"), F.lit(False)))
+    links = cut(links.join(known, ["seed", "dst"]).select("seed", "src", "dst", "sure"))
+    most = links.groupBy("seed").count().agg(F.max("count")).first()[0]
+    if most > local:
+        return must.unionAll(_settled(links.drop("sure"), must))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        seed, ends = pdf["seed"].iloc[0], np.unique(pdf["dst"].to_numpy()[pdf["sure"].to_numpy()])
+        src, dst = np.concatenate([pdf["src"].to_numpy(), ends]), np.concatenate([pdf["dst"].to_numpy(), np.full(len(ends), seed)])
+        found = np.setdiff1d(_Callers(src, dst).musts(seed), ends)
+        return pd.DataFrame({"seed": seed, "node": found}, dtype="int64")
+
+    return must.unionAll(links.groupBy("seed").applyInPandas(run, "seed long, node long"))
+
+
 def musts(edges: DataFrame, seeds: DataFrame, local: int = LOCAL) -> DataFrame:
     """(seed, node): nodes that reach a seed over any kinds and that no single other node stands before."""
-    steps = edges.select("src", "dst").filter("src <> dst").distinct()
+    return musts_by_steps(cut(edges.select("src", "dst").filter("src <> dst").distinct()), seeds, local)
+
+
+def musts_by_steps(steps: DataFrame, seeds: DataFrame, local: int = LOCAL) -> DataFrame:
+    """musts over a written table of distinct steps (src, dst) without loops."""
     if steps.count() > local:
-        return dominators(edges, seeds, local).filter("depth = 1").select("seed", "node")
-    spark = edges.sparkSession
+        return _musts_by_rounds(steps, seeds, local)
+    spark = steps.sparkSession
     table = steps.toPandas()  # counted just now
     shared = spark.sparkContext.broadcast((table["src"].to_numpy(), table["dst"].to_numpy()))
 

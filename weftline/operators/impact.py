@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.lineage import cut
-from weftline.operators.graph import LOCAL, callers, musts
+from weftline.operators.graph import LOCAL, callers, musts_by_steps
 from weftline.operators.intervals import overlaps
 
 
@@ -31,27 +31,39 @@ def _reach(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return label.filter("a <> node or b <> node").select("node")
 
 
+def _twice(steps: DataFrame, start: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node): those of nodes, none a direct caller of a seed, with two ways of two steps to one seed."""
+    first = steps.join(nodes, steps["src"] == nodes["node"]).select("node", F.col("dst").alias("mid"))
+    last = steps.join(start, steps["dst"] == start["seed"]).select(F.col("src").alias("mid"), "seed")
+    by = first.join(last, "mid").filter("node <> seed").groupBy("node", "seed").agg(F.count("*").alias("n"))
+    return by.filter("n > 1").select("node").distinct()
+
+
 def diff_blast(edges: DataFrame, hunks: DataFrame, ranges: DataFrame, changed: DataFrame, depth: int = 3, local: int = LOCAL) -> DataFrame:
     """(part, symbol_id, path): seeds of the diff, what must and may change with them, and changed paths without a seed.
     may leaves out what some seed's must has.
 
-    Direct callers of a seed are its must. For the other nodes reached, the seed that stands before a node alone is the one
-    that the node, in the graph turned round, stands before alone; so work is done once for each seed or once for each such
-    node, whichever are fewer."""
+    Direct callers of a seed are its must, and so are nodes with two ways of two steps to it; a node that depends on one other
+    alone is none. For the nodes left, the seed that stands before a node alone is the one that the node, in the graph turned
+    round, stands before alone; so work is done once for each seed or once for each such node, whichever are fewer."""
     found = cut(seeds(hunks, ranges))
     start = cut(found.select("seed").distinct())
     steps = cut(edges.select("src", "dst").filter("src <> dst").distinct())
     reach = cut(_reach(steps, start, depth))
     direct = cut(steps.join(start, steps["dst"] == start["seed"], "left_semi").select(F.col("src").alias("node")).distinct())
     rest = cut(reach.join(direct, "node", "left_anti"))
+    twice = cut(_twice(steps, start, rest))
+    several = steps.join(rest.select(F.col("node").alias("src")), "src", "left_semi").groupBy(F.col("src").alias("node")).count().filter("count > 1")
+    rest = cut(several.select("node").join(twice, "node", "left_anti"))
+    direct = direct.unionAll(twice)
     many = rest.count()
     if many and many <= start.count():
         back = steps.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
         ends = rest.select(F.col("node").alias("seed"))
-        pairs = callers(back, ends, max(1, depth)).join(musts(back, ends, local), ["seed", "node"])
+        pairs = callers(back, ends, max(1, depth)).join(musts_by_steps(back, ends, local), ["seed", "node"])
         more = pairs.join(start.select(F.col("seed").alias("node")), "node", "left_semi").select(F.col("seed").alias("node"))
     else:
-        more = callers(steps, start, max(1, depth)).join(rest, "node", "left_semi").join(musts(steps, start, local), ["seed", "node"]).select("node")
+        more = callers(steps, start, max(1, depth)).join(rest, "node", "left_semi").join(musts_by_steps(steps, start, local), ["seed", "node"]).select("node")
     must = cut(direct.unionAll(more).distinct() if many else direct).select(F.col("node").alias("symbol_id"))
     may = reach.select(F.col("node").alias("symbol_id")).join(must, "symbol_id", "left_anti")
     none = F.lit(None).cast("string")

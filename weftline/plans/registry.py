@@ -82,7 +82,7 @@ def _clusters(b: Bridge, edges: DataFrame, found: DataFrame) -> DataFrame:
 
 def _diff_blast(b: Bridge) -> DataFrame:
     hunks, changed = diff(b)
-    return impact.diff_blast(cut(b.edges), hunks, b.ranges, changed)
+    return impact.diff_blast(b.edges, hunks, b.ranges, changed)
 
 
 def _affected(b: Bridge) -> DataFrame:
