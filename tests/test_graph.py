@@ -180,6 +180,19 @@ def test_diff_blast_writes_the_same_rounds_for_any_number_of_seeds(spark, monkey
     assert many[0] == few[0]
 
 
+def test_affected_tests_need_no_musts(spark, monkeypatch):
+    r = random.Random(2)
+    edges = edge_table(spark, list({(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(50)) if a != b}))
+    ranges = spark.createDataFrame([(k, "a.rs", k, k) for k in range(40)], "symbol_id long, path string, first_line int, last_line int")
+    hunks = spark.createDataFrame([("a.rs", 3, 4), ("a.rs", 30, 30)], "path string, start_line int, end_line int")
+    tests = ids(spark, *range(0, 40, 2))
+    want = impact.affected_tests(impact.diff_blast(edges, hunks, ranges, hunks.select("path")), tests).collect()
+    monkeypatch.setattr(graph, "musts_by_steps", None)
+    monkeypatch.setattr(impact, "musts_by_steps", None)
+    got = impact.affected_tests(impact.diff_reach(edges, hunks, ranges), tests).collect()
+    assert 3 < len(got) < 20 and got == want
+
+
 def test_hotspots(spark):
     churn = spark.createDataFrame([("hot", 10), ("cold", 2), ("churned_simple", 8), ("complex_stable", 1)], "path string, commits long")
     size = spark.createDataFrame([("hot", 20), ("cold", 5), ("complex_stable", 25)], "path string, complexity long")

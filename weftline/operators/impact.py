@@ -31,6 +31,17 @@ def _reach(steps: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return label.filter("a <> node or b <> node").select("node")
 
 
+def _steps(edges: DataFrame) -> DataFrame:
+    return cut(edges.select("src", "dst").filter("src <> dst").distinct())
+
+
+def diff_reach(edges: DataFrame, hunks: DataFrame, ranges: DataFrame, depth: int = 3) -> DataFrame:
+    """(part, symbol_id): seeds of the diff and all reached, as diff_blast has them without telling must from may."""
+    start = cut(seeds(hunks, ranges).select("seed").distinct())
+    reach = _reach(_steps(edges), start, depth)
+    return start.select(F.lit("seed").alias("part"), F.col("seed").alias("symbol_id")).unionAll(reach.select(F.lit("reached"), "node"))
+
+
 def _twice(steps: DataFrame, start: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node): those of nodes, none a direct caller of a seed, with two ways of two steps to one seed."""
     first = steps.join(nodes, steps["src"] == nodes["node"]).select("node", F.col("dst").alias("mid"))
@@ -48,7 +59,7 @@ def diff_blast(edges: DataFrame, hunks: DataFrame, ranges: DataFrame, changed: D
     round, stands before alone; so work is done once for each seed or once for each such node, whichever are fewer."""
     found = cut(seeds(hunks, ranges))
     start = cut(found.select("seed").distinct())
-    steps = cut(edges.select("src", "dst").filter("src <> dst").distinct())
+    steps = _steps(edges)
     reach = cut(_reach(steps, start, depth))
     direct = cut(steps.join(start, steps["dst"] == start["seed"], "left_semi").select(F.col("src").alias("node")).distinct())
     rest = cut(reach.join(direct, "node", "left_anti"))
@@ -77,6 +88,7 @@ def diff_blast(edges: DataFrame, hunks: DataFrame, ranges: DataFrame, changed: D
 
 
 def affected_tests(blast: DataFrame, tests: DataFrame) -> DataFrame:
-    """(symbol_id): test symbols among a diff's seeds and all it reaches; a changed test is affected itself."""
+    """(symbol_id): test symbols among a diff's seeds and all it reaches (diff_blast or diff_reach); a changed test is affected
+    itself."""
     reached = blast.filter("part <> 'unresolved'").select("symbol_id").distinct()
     return reached.join(tests.select("symbol_id"), "symbol_id", "left_semi").orderBy("symbol_id")

@@ -86,7 +86,8 @@ def _diff_blast(b: Bridge) -> DataFrame:
 
 
 def _affected(b: Bridge) -> DataFrame:
-    return impact.affected_tests(_diff_blast(b), b.symbols.filter(rules.is_test()))
+    hunks, _ = diff(b)
+    return impact.affected_tests(impact.diff_reach(b.edges, hunks, b.ranges), b.symbols.filter(rules.is_test()))
 
 
 def _pairs(b: Bridge, *pairs: tuple[str, str]) -> DataFrame:
