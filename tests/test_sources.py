@@ -211,6 +211,19 @@ def test_intervals(spark):
     assert intervals.overlaps(wide, ranges).count() == 21
 
 
+@pytest.mark.parametrize("find", [intervals.innermost, intervals.container_or_largest])
+def test_a_place_is_looked_up_once(spark, monkeypatch, find):
+    """Many marks at one place and many declarations of one span are not paired with each other."""
+    decls = spark.createDataFrame([(n, "f", 10 * (n % 3), 100 - n % 3) for n in range(300)], "decl_id long, path string, def_bs long, def_be long")
+    marks = spark.createDataFrame([(n, "f", *[(15, 20), (25, 30), (5, 6)][n % 3]) for n in range(200)], "mark_id long, path string, bs long, be long")
+    paired = []
+    first = intervals.first_match
+    monkeypatch.setattr(intervals, "first_match", lambda rows, keys, order: paired.append(rows.count()) or first(rows, keys, order))
+    got = {r["mark_id"]: r["decl_id"] for r in find(marks, decls, "mark_id").collect()}
+    assert got == {n: [1, 2, 0][n % 3] for n in range(200)}
+    assert sum(paired) <= 9
+
+
 def test_scip_symbols():
     a = occurrences.parse("scip-x cargo my  pkg 1.0 `a/b`/Type#run(+1).")
     assert (a.package, a.descriptors) == ("my pkg", (("a/b", "namespace", None), ("Type", "type", None), ("run", "method", "+1")))

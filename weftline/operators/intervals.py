@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.lineage import cut
 from weftline.operators.rules import first_match
 
 
@@ -36,20 +37,44 @@ def _around(places: DataFrame, at: str, end: str, ranges: DataFrame, start: str,
     return probes.join(dealt, ["path", "_w", "_b"]).filter((F.col(start) <= F.col(at)) & (F.col(stop) >= F.col(end))).drop("_w", "_b")
 
 
-def innermost(sites: DataFrame, decls: DataFrame, site: str = "site_id") -> DataFrame:
+def _spans(decls: DataFrame) -> DataFrame:
+    """(path, def_bs, def_be, decl_id, _d): one row for all declarations of a span, the least decl_id with its columns."""
+    rest = [c for c in decls.columns if c not in ("path", "def_bs", "def_be")]
+    by = decls.groupBy("path", "def_bs", "def_be").agg(F.min_by(F.struct(*rest), F.struct("decl_id")).alias("_d"))
+    return by.select("path", "def_bs", "def_be", "_d.decl_id", "_d")
+
+
+def _each(marks: DataFrame, decls: DataFrame, mark: str, found: DataFrame, order: list[Column]) -> DataFrame:
+    """Marks with what was found for their places, one row a mark."""
+    own, rest = [c for c in marks.columns if c not in ("path", mark)], [c for c in decls.columns if c not in ("path", "def_bs", "def_be")]
+    keys = F.struct(*(k.alias(f"k{n}") for n, k in enumerate(order)))
+    placed = found.select("path", "bs", "be", F.struct("def_bs", "def_be", "_d").alias("_f"), keys.alias("_k"))
+    both = marks.join(placed, ["path", "bs", "be"])
+    first = both.groupBy(mark).agg(F.min_by(F.struct("path", *own, "_f"), "_k").alias("_m"))
+    return first.select("_m.path", mark, *(f"_m.{c}" for c in own), "_m._f.def_bs", "_m._f.def_be", *(f"_m._f._d.{c}" for c in rest))
+
+
+_PLACE = ["path", "bs", "be"]
+
+
+def innermost(sites: DataFrame, decls: DataFrame, site: str = "site_id", places: DataFrame | None = None) -> DataFrame:
     """Each site (path, bs, be) with the shortest declaration (decl_id, path, def_bs, def_be) around it; the first in the
-    source on ties. Sites in none are left out."""
-    both = _around(sites, "bs", "be", decls, "def_bs", "def_be")
-    return first_match(both, [site], [F.col("def_be") - F.col("def_bs"), F.col("def_bs"), F.col("decl_id")])
+    source on ties. Sites in none are left out. Each place is looked up once, among spans that differ, for all its sites.
+    places (path, bs, be): those of the sites and maybe more, where they are had for less than from the sites."""
+    order = [F.col("def_be") - F.col("def_bs"), F.col("def_bs"), F.col("decl_id")]
+    both = _around((sites if places is None else places).select(_PLACE).distinct(), "bs", "be", cut(_spans(decls)), "def_bs", "def_be")
+    return _each(sites, decls, site, cut(first_match(both, _PLACE, order)), order)
 
 
-def container_or_largest(marks: DataFrame, decls: DataFrame, mark: str = "mark_id") -> DataFrame:
-    """Each mark (path, bs, be) with the smallest declaration around it, else the largest inside it."""
+def container_or_largest(marks: DataFrame, decls: DataFrame, mark: str = "mark_id", places: DataFrame | None = None) -> DataFrame:
+    """Each mark (path, bs, be) with the smallest declaration around it, else the largest inside it. places: as in innermost."""
     size = F.col("def_be") - F.col("def_bs")
-    around = first_match(_around(marks, "bs", "be", decls, "def_bs", "def_be"), [mark], [size, F.col("def_bs"), F.col("decl_id")])
-    rest = marks.join(around.select(mark), mark, "left_anti")
-    inside = first_match(_around(decls, "def_bs", "def_be", rest, "bs", "be"), [mark], [-size, F.col("def_bs"), F.col("decl_id")])
-    return around.unionByName(inside)
+    spans, places = cut(_spans(decls)), cut((marks if places is None else places).select(_PLACE).distinct())
+    around = cut(first_match(_around(places, "bs", "be", spans, "def_bs", "def_be"), _PLACE, [size, F.col("def_bs"), F.col("decl_id")]))
+    rest = cut(places.join(around, _PLACE, "left_anti"))
+    inside = first_match(_around(spans, "def_bs", "def_be", rest, "bs", "be"), _PLACE, [-size, F.col("def_bs"), F.col("decl_id")])
+    found = cut(around.withColumn("_in", F.lit(False)).unionByName(inside.withColumn("_in", F.lit(True))))
+    return _each(marks, decls, mark, found, [F.col("_in"), F.when(F.col("_in"), -size).otherwise(size), F.col("def_bs"), F.col("decl_id")])
 
 
 def next_start(marks: DataFrame, decls: DataFrame, mark: str = "mark_id") -> DataFrame:

@@ -130,6 +130,10 @@ def _disk(b: Bridge) -> tuple[DataFrame, DataFrame]:
     return files.filter("content_hash <> 'data'"), files.withColumn("content_hash", F.when(F.col("content_hash") == "ui", "new").otherwise(F.col("content_hash")))
 
 
+def _longer(marks: DataFrame) -> DataFrame:
+    return marks.withColumn("be", F.col("be") + 60)
+
+
 def _declared(b: Bridge) -> DataFrame:
     files = b.decls.select("path").distinct().withColumn("size", F.lit(0).cast("long"))
     return derive.symbols(b.decls, files)
@@ -217,7 +221,7 @@ _PLANS = {
     "scoped_edges": _scoped,
     "occurrence_edges": _occurrences,
     "innermost": lambda b: intervals.innermost(b.marks, b.wide_decls).select("site_id", "decl_id"),
-    "container_or_largest": lambda b: intervals.container_or_largest(b.marks.withColumn("be", F.col("be") + 60), b.wide_decls, "site_id").select("site_id", "decl_id"),
+    "container_or_largest": lambda b: intervals.container_or_largest(_longer(b.marks), b.wide_decls, "site_id", _longer(b.mark_rows)).select("site_id", "decl_id"),
     "next_start": lambda b: intervals.next_start(b.marks, b.wide_decls, "site_id").select("site_id", "decl_id"),
     "crate_paths": lambda b: b.crate_symbols.select("symbol_id", rules.crate_of(F.col("file")).alias("crate"), rules.layer_of(F.col("file")).alias("layer"), rules.role(F.col("kind"), F.col("file")).alias("role")),
     "boundary_violations": lambda b: rules.boundary_violations(b.crate_symbols, b.edges, "c1"),
