@@ -220,7 +220,7 @@ _PLANS = {
     "symbol_ids": lambda b: _declared(b).select("symbol_id", "file", "kind", "name", "byte_start"),
     "scoped_edges": _scoped,
     "occurrence_edges": _occurrences,
-    "innermost": lambda b: intervals.innermost(b.marks, b.wide_decls).select("site_id", "decl_id"),
+    "innermost": lambda b: intervals.innermost(b.marks, b.wide_decls, places=b.mark_rows).select("site_id", "decl_id"),
     "container_or_largest": lambda b: intervals.container_or_largest(_longer(b.marks), b.wide_decls, "site_id", _longer(b.mark_rows)).select("site_id", "decl_id"),
     "next_start": lambda b: intervals.next_start(b.marks, b.wide_decls, "site_id").select("site_id", "decl_id"),
     "crate_paths": lambda b: b.crate_symbols.select("symbol_id", rules.crate_of(F.col("file")).alias("crate"), rules.layer_of(F.col("file")).alias("layer"), rules.role(F.col("kind"), F.col("file")).alias("role")),
