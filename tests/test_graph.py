@@ -180,6 +180,21 @@ def test_diff_blast_writes_the_same_rounds_for_any_number_of_seeds(spark, monkey
     assert many[0] == few[0]
 
 
+def test_blast_radius_writes_the_same_rounds_for_any_number_of_seeds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(graph, "cut", lambda df, cut=graph.cut: written.append(df) or cut(df))
+
+    def run(n):
+        edges = edge_table(spark, [e for k in range(0, 10 * n, 10) for e in ((k + 2, k + 1), (k + 3, k + 1), (k + 4, k + 2), (k + 4, k + 3), (k + 5, k + 4))])
+        written.clear()
+        got = graph.blast_radius(edges, seed(spark, *range(1, 10 * n, 10)), ["Calls"], 3, 0).collect()
+        return len(written), sorted((r["seed"] // 10, r["node"] % 10, r["must"]) for r in got)
+
+    few, many = run(1), run(4)
+    assert few[1] == [(0, 2, True), (0, 3, True), (0, 4, True), (0, 5, False)]
+    assert many == (few[0], [(k, *r[1:]) for k in range(4) for r in few[1]])
+
+
 def test_affected_tests_need_no_musts(spark, monkeypatch):
     r = random.Random(2)
     edges = edge_table(spark, list({(a, b) for a, b in ((r.randrange(40), r.randrange(40)) for _ in range(50)) if a != b}))

@@ -22,9 +22,9 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 9) for c in columns})
 
 
-def tops(b: Bridge) -> DataFrame:
+def tops(edges: DataFrame) -> DataFrame:
     """The three symbols most depended on, as seeds."""
-    return b.edges.groupBy(F.col("dst").alias("seed")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "seed").limit(3).select("seed")
+    return edges.groupBy(F.col("dst").alias("seed")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "seed").limit(3).select("seed")
 
 
 def diff(b: Bridge) -> tuple[DataFrame, DataFrame]:
@@ -34,7 +34,7 @@ def diff(b: Bridge) -> tuple[DataFrame, DataFrame]:
 
 
 def _references(b: Bridge) -> DataFrame:
-    seed = tops(b).agg(F.min("seed")).first()[0]
+    seed = tops(b.edges).agg(F.min("seed")).first()[0]
     return navigate.find_references(b.symbols, b.stored_edges, seed).select(F.lit(seed).cast("long").alias("seed"), "*")
 
 
@@ -52,14 +52,14 @@ def _god(b: Bridge) -> DataFrame:
 def _blast(kinds=None):
     def run(b: Bridge) -> DataFrame:
         edges = cut(b.edges)
-        return graph.blast_radius(edges, cut(tops(b)), kinds)
+        return graph.blast_radius(edges, cut(tops(edges)), kinds)
 
     return run
 
 
 def _plan(b: Bridge) -> DataFrame:
     edges = cut(b.edges)
-    seed = tops(b).agg(F.min("seed")).first()[0]
+    seed = tops(b.edges).agg(F.min("seed")).first()[0]
     return graph.plan_assist(edges, b.symbols, seed).select("file", F.round("certainty", 9).alias("certainty"), F.size("reasons").cast("long").alias("members"))
 
 
@@ -192,10 +192,10 @@ _PLANS = {
     "wide_modules": lambda b: metrics.wide_modules(b.modules, b.edges),
     "misplaced": lambda b: rounded(metrics.misplaced(b.modules, b.edges), "ratio"),
     "neighbours": lambda b: metrics.neighbours(b.modules, b.edges),
-    "reverse_bfs": lambda b: graph.callers(graph.of_kinds(b.edges, ["Calls", "Imports"]), tops(b), 3),
+    "reverse_bfs": lambda b: graph.callers(graph.of_kinds(b.edges, ["Calls", "Imports"]), tops(b.edges), 3),
     "blast_radius": _blast(),
     "blast_radius_calls": _blast(["Calls"]),
-    "dominator_depths": lambda b: graph.dominators(cut(b.edges), tops(b)),
+    "dominator_depths": lambda b: graph.dominators(cut(b.edges), tops(b.edges)),
     "plan_assist": _plan,
     "cycles": lambda b: graph.cycles(b.edges),
     "dead_code": _dead,
